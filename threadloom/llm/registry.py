@@ -9,6 +9,8 @@ MODULES = (
     "secrets_scan",
     "token_counts",
     "language_id",
+    "mixing",
+    "chat_format",
 )
 
 QUERIES: dict = {}
