@@ -11,6 +11,8 @@ MODULES = (
     "language_id",
     "mixing",
     "chat_format",
+    "audio",
+    "warc",
 )
 
 QUERIES: dict = {}

@@ -24,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_threadloom_dir", None)
     if not found:
         found = sc._threadloom_dir = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    return found.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_path(spark: SparkSession, name: str) -> str:
