@@ -13,6 +13,7 @@ MODULES = (
     "chat_format",
     "audio",
     "warc",
+    "ngram_join",
 )
 
 QUERIES: dict = {}
