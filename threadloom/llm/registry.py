@@ -14,6 +14,7 @@ MODULES = (
     "audio",
     "warc",
     "ngram_join",
+    "piece_sampling",
 )
 
 QUERIES: dict = {}
