@@ -15,6 +15,7 @@ MODULES = (
     "warc",
     "ngram_join",
     "piece_sampling",
+    "embedding_dedup",
 )
 
 QUERIES: dict = {}
