@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import map_text
+from threadloom.llm.shared import map_text, materialize
 
 ORDERS = (3, 4)
 CELL_BITS = 20
@@ -29,7 +29,11 @@ HASHES = 2
 TRAIN_DOCS = 1500
 MIN_COUNT, KEEP_RATIO = 3, 0.3
 HELD_OUT_OF = 5
+#: The bits of a cell; of more languages the most frequent are learned.
+LANGUAGES = 64
 UNKNOWN = "und"
+#: Texts below this score are rejected where texts are filtered.
+LEAST_SCORE = 0.5
 #: Code points that are looked at in one step; the n-grams across steps are kept.
 STEP = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,8 +92,8 @@ class Filters:
     """Bit-sliced Bloom filters of up to 64 languages."""
 
     def __init__(self, languages: list[str], cells: np.ndarray | None = None):
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
+        if len(languages) > LANGUAGES:
+            raise ValueError(f"at most {LANGUAGES} languages")
         self.languages = languages
         self.cells = np.zeros(1 << CELL_BITS, np.uint64) if cells is None else cells
 
@@ -127,9 +131,15 @@ class Filters:
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = TRAIN_DOCS) -> Filters:
     """Filters from at most `docs` rows of each language, the first by a hash of their key."""
-    sample = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), F.xxhash64("text"))
-    sample = sample.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs).select("lang", "text")
+    rows = df.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    rows = rows.filter(F.col("lang").isin([r["lang"] for r in seen]))
+    # twice the rows that are wanted, by a threshold on the hash, then the first of them:
+    # no task sees more than about 2 * docs rows of a language, however many there are
+    share = F.element_at(F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(2.0 * docs / r["n"]))]), F.col("lang")) if seen else F.lit(1.0)
+    few = rows.select("lang", "h").filter(F.col("h") / float(1 << 64) + 0.5 < share).distinct()
+    first = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= docs).select("lang", "h")
+    sample = materialize(rows.join(F.broadcast(first), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text"), "sample")
 
     def run(batches):
         # counts of n-grams in one batch; the sum over batches follows in Spark
@@ -187,6 +197,20 @@ def identify(df: DataFrame, filters: Filters, key: str = "doc_id", text: str = "
     return map_text(source, run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def keep_identified(df: DataFrame, filters: Filters, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of df whose text has a language with a score of at least `least`; all columns stay."""
+    sent = df.sparkSession.sparkContext.broadcast((filters.languages, filters.cells.tobytes(), filters.rates()))
+    place = df.columns.index(text)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        languages, cells, rates = sent.value
+        here = Filters(languages, np.frombuffer(cells, np.uint64))
+        found = [here.predict(t, rates) for t in part.column(place).to_pylist()]
+        return part.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+
+    return map_text(df, run, df.schema, text)
+
+
 def held_out(key) -> F.Column:
     """Whether crc32 of the id as text leaves 0 modulo 5; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % HELD_OUT_OF) == 0
