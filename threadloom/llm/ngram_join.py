@@ -20,17 +20,19 @@ alone, which suffices because a pair is at risk only if both its sets are such.
 
 Verification. Sets that share a signature are joined into coarse classes (star
 edges found in a range-partitioned sort, which splits hot signatures, then
-connected components). Inside a coarse class every pair of sets is compared
-exactly, in blocks of BLOCK sets, by products of incidence matrices; a task
-returns only a spanning forest of the links it finds. Exact copies have one set
-and take part once.
-
-No pair is lost and none is listed: work inside a coarse class of m different sets is m * m / 2
-comparisons inside tasks of bounded size, rows are m * (m / BLOCK + 1).
+connected components). Inside a coarse class the sets are cut into bands of size
+and blocks of BLOCK sets; every pair of blocks from equal or neighbouring bands is
+compared exactly, by products of incidence matrices, and a task returns only a
+spanning forest of the links it finds. Exact copies have one set and take part once.
+
+No pair is lost and none is listed. A coarse class of m different sets, b of them
+in a band and its neighbours, costs m * b / 2 comparisons inside tasks of bounded
+size, and m * b / BLOCK rows are moved.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -41,11 +43,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import components, materialize
+from threadloom.llm.shared import components, materialize, slices
 
 WORDS, NUM, DEN = 4, 85, 100
 BAND = 1.4
-BLOCK = 128
+#: Sets and n-grams that a block holds (hot or long ones are cut into more blocks), and bands in a ratio of num / den.
+BLOCK, BLOCK_ITEMS, SPLIT = 1024, 1 << 20, 2
 #: K -> partitions, where subsets of several partitions are enumerated.
 SUBSET_PARTITIONS = {0: 1, 1: 8, 2: 6, 3: 7}
 #: Entries of a worker's cache of word hashes, and of sets already signed by a task.
@@ -140,7 +143,7 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         order = np.argsort(part, kind="stable")
         held, first = np.unique(part[order], return_index=True)
         sums = np.add.reduceat(value[order], first)
-        name = np.uint64(band + 1) * _C
+        name = (np.array([band + 1], np.uint64) * _C)[0]
         if picks is None:
             out.append(mix(sums + name + held.astype(np.uint64) * _A))
         else:
@@ -165,21 +168,22 @@ def _once(seen: set, key: int | None) -> bool:
     return True
 
 
-def _sign(df: DataFrame, kind: str, words: int, num: int, den: int) -> DataFrame:
-    def run(batches):
-        from threadloom.llm.shared import slices
+def _sign(source: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Rows (key, th, tk, n, name, signs); a task signs each set once."""
 
+    def run(batches):
         seen: set = set()
         for part in slices(batches, "text"):
             sizes, names, signs = [], [], []
-            for text in part.column(1).to_pylist():
+            for text in part.column(3).to_pylist():
                 s = shingles(text, words)
                 sizes.append(len(s))
                 names.append(set_hash(s))
                 signs.append(signatures(s, num, den) if _once(seen, names[-1]) else None)
-            yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["key", "n", "name", "signs"])
+            yield pa.record_batch([*part.columns[:3], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["key", "th", "tk", "n", "name", "signs"])
 
-    return df.mapInArrow(run, f"key {kind}, n long, name long, signs array<long>")
+    kind = source.schema["key"].dataType.simpleString()
+    return source.mapInArrow(run, f"key {kind}, th long, tk int, n long, name long, signs array<long>")
 
 
 def _stars(signed: DataFrame) -> DataFrame:
@@ -216,33 +220,13 @@ def _stars(signed: DataFrame) -> DataFrame:
     return found.filter("sign is null").select("a", "b").union(across)
 
 
-def _sets(df: DataFrame, words: int) -> DataFrame:
-    """Rows (name, items) of the sets of df, each once in a task."""
-
-    def run(batches):
-        from threadloom.llm.shared import slices
-
-        seen: set = set()
-        for part in slices(batches, "text"):
-            names, items = [], []
-            for text in part.column(1).to_pylist():
-                s = shingles(text, words)
-                name = set_hash(s)
-                if _once(seen, name):
-                    names.append(name)
-                    items.append(s.tobytes())
-            yield pa.record_batch([pa.array(names, pa.int64()), pa.array(items, pa.binary())], names=["name", "items"])
-
-    return df.mapInArrow(run, "name long, items binary")
-
-
-def _has(names: DataFrame, column: str, rows: DataFrame) -> DataFrame:
-    """Rows whose name may be among names: a filter of FILTER_BITS bits, whatever the number of names."""
-    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = names.select((at / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask"))
-    rows = rows.withColumn("word", (F.pmod(F.col("name"), F.lit(FILTER_BITS)) / 64).cast("int"))
-    kept = rows.join(F.broadcast(words), "word").filter(F.expr("(mask & shiftleft(1L, cast(pmod(name, 64) as int))) != 0"))
-    return kept.drop("word", "mask")
+def _may_have(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose th may be among those of `wanted`: a filter of FILTER_BITS bits, however many there are."""
+    word = (F.pmod(F.col("th"), F.lit(FILTER_BITS)) / 64).cast("int")
+    bit = F.expr("shiftleft(1L, cast(pmod(th, 64) as int))")
+    masks = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    kept = rows.withColumn("word", word).join(F.broadcast(masks), "word")
+    return kept.filter(F.col("mask").bitwiseAND(bit) != 0).drop("word", "mask")
 
 
 def link_matrix(sets: list[np.ndarray], left: np.ndarray | None, num: int, den: int) -> np.ndarray:
@@ -285,20 +269,45 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Spanning links (a, b) inside coarse classes of rows (root, name, items)."""
-    counts = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(counts, "root").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "items")
-    rows = rows.repartitionByRange("root", "i", "j").sortWithinPartitions("root", "i", "j", "block", "name")
+def _tasks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (root, lo, hi, i, j, left, ...) from rows (root, name, n, ...): the comparisons that each set takes part in.
+
+    Sets that link have sizes within a ratio of num / den, so a class is cut into
+    SPLIT bands for each such ratio and only bands at most SPLIT apart meet, block by block.
+    """
+    width = math.log(den / num) / SPLIT * (1 + 1e-9)
+    rows = members.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    sizes = rows.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    sizes = sizes.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    rows = rows.join(sizes, "root")
+    blocks = lambda band: F.coalesce(F.element_at("blocks", band), F.lit(0))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("name"), blocks(F.col("band"))).cast("int"))
+    band, own = F.col("band"), F.col("own")
+
+    def met(other, lo, hi, i, j, left):
+        every = F.filter(F.sequence(F.lit(0), blocks(other)), lambda k: k < blocks(other))
+        return F.transform(every, lambda k: F.struct(lo.alias("lo"), hi.alias("hi"), i(k).alias("i"), j(k).alias("j"), left(k).alias("left")))
+
+    inside = met(band, band, band, lambda k: F.least(own, k), lambda k: F.greatest(own, k), lambda k: own <= k)
+    above = [met(band + d, band, band + d, lambda k: own, lambda k: k, lambda k: F.lit(True)) for d in range(1, SPLIT + 1)]
+    below = [met(band - d, band - d, band, lambda k: k, lambda k: own, lambda k: F.lit(False)) for d in range(1, SPLIT + 1)]
+    rest = [c for c in members.columns if c != "root"]
+    return rows.withColumn("t", F.explode(F.concat(inside, *above, *below))).select("root", "t.*", *rest)
+
+
+def _compare(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Spanning links (a, b) of rows (root, lo, hi, i, j, left, name, text)."""
+    key_columns = ["root", "lo", "hi", "i", "j"]
+    rows = members.select(*key_columns, "left", "name", "text").repartition(*key_columns).sortWithinPartitions(*key_columns, "left", "name")
 
     def found(key, held):
         if len(held) < 2:
             return [], []
-        sets = [np.frombuffer(x[2], np.uint64) for x in held]
-        left = None if key[1] == key[2] else np.array([x[0] == key[1] for x in held])
-        names = [x[1] for x in held]
+        _, lo, hi, i, j = key
+        left = None if lo == hi and i == j else np.array([x[0] for x in held])
+        if left is not None and (left.all() or not left.any()):
+            return [], []
+        sets, names = [shingles(x[2], words) for x in held], [x[1] for x in held]
         label = forest(link_matrix(sets, left, num, den))
         at = np.flatnonzero(label != np.arange(len(label)))
         return [names[i] for i in at], [names[label[i]] for i in at]
@@ -307,12 +316,12 @@ def _compare(members: DataFrame, num: int, den: int) -> DataFrame:
         key, held = None, []
         for batch in batches:
             a, b = [], []
-            for root, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (root, i, j) != key:
+            for root, lo, hi, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, lo, hi, i, j) != key:
                     x, y = found(key, held)
                     a += x
                     b += y
-                    key, held = (root, i, j), []
+                    key, held = (root, lo, hi, i, j), []
                 held.append(rest)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         a, b = found(key, held)
@@ -330,31 +339,46 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", word
     reachable; repeated rows are kept; other columns are ignored whatever their
     names; an empty table gives no rows.
     """
-    source = df.select(df[key].alias("key"), df[text].alias("text"))
-    signed = materialize(_sign(source, source.schema["key"].dataType.simpleString(), words, num, den), "signed")
-    coarse = components(_stars(signed.filter("signs is not null")))
-    coarse = materialize(coarse, "coarse")
-    sets = _has(coarse, "node", _sets(source, words)).dropDuplicates(["name"])
-    members = materialize(sets.join(coarse.withColumnRenamed("node", "name"), "name").select("root", "name", "items"), "members")
-    linked = components(_compare(members, num, den)).withColumnRenamed("node", "name")
+    body = df[text]
+    source = df.select(df[key].alias("key"), F.xxhash64(body).alias("th"), F.hash(body).alias("tk"), body.alias("text"))
+    signed, by_name = _classes(source, words, num, den)
     least = signed.filter("name is not null").groupBy("name").agg(F.min("key").alias("least"))
-    least = least.join(linked, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    least = least.join(by_name, "name", "left").withColumn("root", F.coalesce("root", "name"))
     best = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_name = least.join(best, "root").select("name", "component_id")
-    out = signed.select("key", "n", "name").join(by_name, "name", "left")
+    ids = least.join(best, "root").select("name", "component_id")
+    out = signed.select("key", "n", "name").join(ids, "name", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _classes(source: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (key, th, tk, n, name, signs) of all documents, and (name, root) of linked sets."""
+    signed = materialize(_sign(source, words, num, den), "signed")
+    coarse = components(_stars(signed.filter("signs is not null")))
+    texts = signed.filter("signs is not null").groupBy("name").agg(F.min(F.struct("th", "tk")).alias("t"), F.first("n").alias("n"))
+    wanted = coarse.withColumnRenamed("node", "name").join(texts, "name").select("root", "name", "n", "t.th", "t.tk")
+    wanted = materialize(_tasks(wanted, num, den), "wanted")
+    ids = wanted.select("th", "tk").distinct()
+    once = _may_have(ids, source.select("th", "tk", "text")).groupBy("th", "tk").agg(F.first("text").alias("text"))
+    members = once.join(wanted, ["th", "tk"])
+    return signed, components(_compare(members, words, num, den)).withColumnRenamed("node", "name")
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of df without those that repeat another's text nearly: of each component the row with the least key stays.
 
-    Rows without words all stay. Columns are df's.
+    Rows without words all stay; rows equal in key and text count as one. Columns are df's.
     """
-    stored = materialize(df.select("*", F.monotonically_increasing_id().alias("__row")), "numbered")
-    groups = join_components(stored, "__row", text, words, num, den).select("__row", "component_id")
-    keys = stored.select("__row", F.col(key).alias("__key")).join(groups, "__row")
-    stay = keys.groupBy("component_id").agg(F.min(F.struct(F.col("__key").isNull(), F.col("__key"), F.col("__row")))["__row"].alias("__row"))
-    return stored.join(stay.select("__row"), "__row", "left_semi").select(*df.columns)
+    hashed = df.withColumns({"__th": F.xxhash64(text), "__tk": F.hash(text)})
+    worded = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = hashed.filter(worded)
+    signed, by_name = _classes(rows.select(F.col(key).alias("key"), F.col("__th").alias("th"), F.col("__tk").alias("tk"), F.col(text).alias("text")), words, num, den)
+    placed = signed.select("key", "th", "tk", "name").join(by_name, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "th", "tk")).alias("s"))
+    stay = first.select(F.col("s.key").alias("__k"), F.col("s.th").alias("__h"), F.col("s.tk").alias("__j"))
+    rest = [c for c in df.columns if c != key]
+    once = rows.groupBy(key, "__th", "__tk").agg(*[F.first(c).alias(c) for c in rest])
+    same = once[key].eqNullSafe(stay["__k"]) & (once["__th"] == stay["__h"]) & (once["__tk"] == stay["__j"])
+    return once.join(stay, same, "left_semi").select(*df.columns).union(df.filter(~worded))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
