@@ -184,6 +184,17 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return map_text(source, run, f"key {kind}, spans array<struct<start:int,end:int,kind:string>>, redacted string").withColumnRenamed("key", key)
 
 
+def redact_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of df with every secret in the text replaced by a mark; all other columns stay."""
+    place = df.columns.index(text)
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        clean = [redact(t, find_spans(t)) for t in part.column(place).to_pylist()]
+        return part.set_column(place, part.schema.field(place), pa.array(clean, part.schema.field(place).type))
+
+    return map_text(df, run, df.schema, text)
+
+
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base kinds and the listed spans of every row, as scan() finds them."""
     source = df.select(df[key].alias("key"), df[text].alias("text"))

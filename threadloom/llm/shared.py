@@ -61,8 +61,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_CH
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
-    """Apply fn to bounded Arrow slices of df."""
+def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text") -> DataFrame:
+    """Apply fn to Arrow slices of df that are bounded by the size of a string column."""
 
     def run(batches):
         for part in slices(batches, column):
