@@ -1,7 +1,9 @@
 """Token counts of whole texts; huge ones are encoded in overlapping chunks and spliced.
 
-A text of up to CHUNK characters is encoded at once. A longer one is cut into
-chunks that overlap. Both encodings of an overlap carry offsets; they are
+A text of up to CHUNK characters is cut wherever the pre-tokenizer must start a
+piece whatever stands around: before a space and around a line feed between other
+characters, and between a letter and a mark that follows it. Each part that a worker has not
+met lately is encoded once. A longer text is cut into chunks that overlap. Both encodings of an overlap carry offsets; they are
 spliced at the first position where
 
 * the text has a space after a character that is not white space, before one
@@ -27,10 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from threadloom.llm.shared import map_text
 
 CHUNK, OVERLAP = 65_536, 512
+#: Parts whose counts a worker keeps (some 100 MB).
+CACHE = 1 << 20
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
+_PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W\d_])(?=[.,;:!?])")
 _LOADED: dict = {}
+_KEPT: dict = {}
 
 
 def tokenizer(path: str):
@@ -80,10 +86,15 @@ def encode_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -
     return out + [i for i, (a, _) in zip(left.ids, left.offsets, strict=True) if a + start >= begin]
 
 
-def count_texts(tok, texts: list[str | None], chunk: int = CHUNK) -> list[int]:
-    short = [t if t and len(t) <= chunk else "" for t in texts]
-    counts = [len(e) for e in tok.encode_batch_fast(short, add_special_tokens=False)]
-    return [len(encode_spliced(tok, t, chunk)) if t and len(t) > chunk else n for t, n in zip(texts, counts, strict=True)]
+def count_texts(tok, texts: list[str | None], chunk: int = CHUNK, kept: dict[str, int] | None = None) -> list[int]:
+    """Tokens of each text; kept holds counts of parts, and is added to."""
+    kept = {} if kept is None else kept
+    if len(kept) > CACHE:
+        kept.clear()
+    cut = [_PARTS.split(t) if t and len(t) <= chunk else () for t in texts]
+    new = list({p for parts in cut for p in parts if p not in kept})
+    kept.update(zip(new, map(len, tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+    return [len(encode_spliced(tok, t, chunk)) if t and len(t) > chunk else sum(map(kept.__getitem__, parts)) for t, parts in zip(texts, cut, strict=True)]
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -97,7 +108,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         col = part.column(1)
-        n = pa.array(count_texts(tokenizer(path), col.to_pylist()), pa.int64())
+        n = pa.array(count_texts(tokenizer(path), col.to_pylist(), kept=_KEPT.setdefault(path, {})), pa.int64())
         size = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
         return pa.record_batch([part.column(0), size, n, pc.greater(n, max_tokens)], names=["key", "n_bytes", "n_tokens", "over_limit"])
 
