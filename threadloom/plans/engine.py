@@ -76,10 +76,11 @@ class Result:
 
 def analyze(messages: DataFrame, config: Config = DEFAULT) -> Prepared:
     """Units with scores and levels, contradictions, facts, compacted units and the messages after compaction."""
-    scored = scoring.importance(U.units(messages, config.parsing))
-    conflicts = K.contradictions(scored)
-    classified = scoring.classify(scored, conflicts, config.policy)
-    changed = compaction.compact(classified, config.policy, config.parsing)
+    # each of these has several readers, and the text work before it is the costly part
+    scored = materialize(scoring.importance(U.units(messages, config.parsing)), "scored")
+    conflicts = materialize(K.contradictions(scored), "conflicts")
+    classified = materialize(scoring.classify(scored, conflicts, config.policy), "classified")
+    changed = materialize(compaction.compact(classified, config.policy, config.parsing), "changed")
     return Prepared(compaction.rebuild(messages, classified, changed), classified, conflicts, K.facts(classified, conflicts, messages), changed)
 
 

@@ -74,15 +74,15 @@ facts AS (SELECT l.* FROM listed l LEFT JOIN old ON old.thread_id = l.thread_id
 
 COLLAPSED = rf"""
 planned AS (SELECT thread_id, msg_idx, unit_pos, first_line, text FROM classified WHERE kind = 'log' AND level = 'compressible' AND role <> 'system'),
-rows AS (SELECT *, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) - 1 AS at FROM planned),
-keyed AS (SELECT *, CASE WHEN line LIKE '%request_id=%' THEN NULL ELSE {_MASK.replace("X", "line")} END AS key FROM rows),
-starts AS (SELECT *, sum(CASE WHEN key IS NULL OR p IS DISTINCT FROM key THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id, msg_idx, unit_pos ORDER BY at) AS run
-  FROM (SELECT *, lag(key) OVER (PARTITION BY thread_id, msg_idx, unit_pos ORDER BY at) AS p FROM keyed)),
-sized AS (SELECT *, count(*) OVER r AS n, row_number() OVER (r ORDER BY at) AS nth, min(at) OVER r AS a, sum(length(line)) OVER r AS chars,
-  first_value(length(line)) OVER (r ORDER BY at) AS c1, last_value(length(line)) OVER (r ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c2 FROM starts WINDOW r AS (PARTITION BY thread_id, msg_idx, unit_pos, run)),
+parted AS (SELECT *, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) - 1 AS line_at FROM planned),
+keyed AS (SELECT *, CASE WHEN line LIKE '%request_id=%' THEN NULL ELSE {_MASK.replace("X", "line")} END AS key FROM parted),
+starts AS (SELECT *, sum(CASE WHEN key IS NULL OR p IS DISTINCT FROM key THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id, msg_idx, unit_pos ORDER BY line_at) AS run
+  FROM (SELECT *, lag(key) OVER (PARTITION BY thread_id, msg_idx, unit_pos ORDER BY line_at) AS p FROM keyed)),
+sized AS (SELECT *, count(*) OVER r AS n, row_number() OVER (r ORDER BY line_at) AS nth, min(line_at) OVER r AS a, sum(length(line)) OVER r AS chars,
+  first_value(length(line)) OVER (r ORDER BY line_at) AS c1, last_value(length(line)) OVER (r ORDER BY line_at ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c2 FROM starts WINDOW r AS (PARTITION BY thread_id, msg_idx, unit_pos, run)),
 marked AS (SELECT *, '... ' || (n - 2) || ' similar lines omitted (lines ' || (first_line + a + 1) || '-' || (first_line + a + n - 2) || ') ...' || chr(10) AS marker FROM sized),
 pieces AS (SELECT *, key IS NOT NULL AND n >= 3 AND chars - c1 - c2 > length(marker) AS short FROM marked),
-joined AS (SELECT thread_id, msg_idx, unit_pos, min(text) AS text, string_agg(CASE WHEN NOT short THEN line WHEN nth = 1 THEN line || marker WHEN nth = n THEN line ELSE '' END, '' ORDER BY at) AS new_text FROM pieces GROUP BY 1, 2, 3),
+joined AS (SELECT thread_id, msg_idx, unit_pos, min(text) AS text, string_agg(CASE WHEN NOT short THEN line WHEN nth = 1 THEN line || marker WHEN nth = n THEN line ELSE '' END, '' ORDER BY line_at) AS new_text FROM pieces GROUP BY 1, 2, 3),
 changed AS (SELECT * FROM joined WHERE length(new_text) < length(text))"""
 
 _TOKENS = "(ceil(octet_length(encode(text)) / 4.0)::BIGINT + 3)"
