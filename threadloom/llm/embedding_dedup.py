@@ -28,7 +28,7 @@ from threadloom.llm.shared import components, materialize
 
 THRESHOLD = 0.93
 SAMPLE, CELL_ROWS, MAX_CELLS, ROUNDS = 20_000, 4096, 1024, 10
-BLOCK = 256
+BLOCK = 1024
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -77,7 +77,11 @@ def _cells(distinct: DataFrame, centroids: np.ndarray, threshold: float) -> Data
     def run(batches):
         for batch in batches:
             uid, label, copies, vectors = (batch.column(i) for i in range(4))
-            sizes = np.array([len(v) for v in vectors.to_pylist()]) if batch.num_rows else np.empty(0, int)
+            begins = vectors.offsets.to_numpy()
+            flat = vectors.values.to_numpy(zero_copy_only=False)
+            sizes = np.diff(begins)
+            # unit vectors as bytes: 8 for a component, read without a Python object for each
+            packed = pa.array([(v / np.linalg.norm(v)).tobytes() for v in (flat[i:j] for i, j in zip(begins[:-1], begins[1:], strict=True))], pa.binary())
             at, cell, home_of = [], [], []
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
@@ -86,7 +90,7 @@ def _cells(distinct: DataFrame, centroids: np.ndarray, threshold: float) -> Data
                     cell.append(np.zeros(len(rows), int))
                     home_of.append(np.zeros(len(rows), int))
                     continue
-                x = unit(np.array(vectors.take(pa.array(rows)).to_pylist(), np.float64))
+                x = unit(flat[begins[rows][:, None] + np.arange(dim)])
                 scores = x @ centroids.T
                 home = scores.argmax(1)
                 r, c = np.nonzero(margins(scores, home, centroids) <= reach)
@@ -98,11 +102,11 @@ def _cells(distinct: DataFrame, centroids: np.ndarray, threshold: float) -> Data
             at, cell, home_of = (np.concatenate(x) for x in (at, cell, home_of))
             take = pa.array(at)
             yield pa.record_batch(
-                [label.take(take), pa.array(sizes[at].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell != home_of), pa.array(home_of.astype(np.int32)), uid.take(take), copies.take(take), vectors.take(take)],
+                [label.take(take), pa.array(sizes[at].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell != home_of), pa.array(home_of.astype(np.int32)), uid.take(take), copies.take(take), packed.take(take)],
                 names=["label", "dim", "cell", "visitor", "home", "uid", "copies", "vector"],
             )
 
-    return distinct.select("uid", "label", "copies", "vector").mapInArrow(run, f"label {distinct.schema['label'].dataType.simpleString()}, dim int, cell int, visitor boolean, home int, uid long, copies long, vector array<double>")
+    return distinct.select("uid", "label", "copies", "vector").mapInArrow(run, f"label {distinct.schema['label'].dataType.simpleString()}, dim int, cell int, visitor boolean, home int, uid long, copies long, vector binary")
 
 
 def _compare(placed: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
@@ -126,7 +130,7 @@ def _compare(placed: DataFrame, centroids: np.ndarray, threshold: float) -> Data
             return [], [], []
         _, _, cell, i, j = key
         block, visitor, home, uid, copies, vectors = zip(*held, strict=True)
-        x = unit(np.array(vectors, np.float64))
+        x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
         block, visitor, home, uid, copies = (np.array(v) for v in (block, visitor, home, uid, copies))
         links = x @ x.T >= threshold
         np.fill_diagonal(links, False)
