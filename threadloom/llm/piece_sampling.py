@@ -34,6 +34,7 @@ import hashlib
 import heapq
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,9 @@ from threadloom.llm.shared import slices
 SAMPLES, ALPHA = 2, 1.0
 MODEL = "piece_bpe_32k.model"
 SEED = 20240229
-SLICE = 3_000_000
+SLICE = 1_500_000
 #: Places of lattices that a worker keeps from one slice to the next.
-KEPT_PLACES = 1_500_000
+KEPT_PLACES = 1_000_000
 _MARK = "▁"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _WORD = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
@@ -60,9 +61,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def uniform(seed: np.ndarray, stream: int, place: np.ndarray) -> np.ndarray:
-    """Numbers strictly between 0 and 1."""
-    h = _mix(_mix(seed + np.array([stream + 1], np.uint64) * _A) + place.astype(np.uint64) * _C)
+def stream(seeds: np.ndarray, number: int) -> np.ndarray:
+    """Seeds of one stream of numbers for each row."""
+    return _mix(seeds + np.array([number + 1], np.uint64) * _A)
+
+
+def uniform(seeds: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Numbers strictly between 0 and 1, by the seed of a stream and a place."""
+    h = _mix(seeds + place.astype(np.uint64) * _C)
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
@@ -80,15 +86,25 @@ class Vocabulary:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.one_byte = np.array([self.bytes.get(c, self.unknown) for c in range(128)])
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(model.serialized_model_proto())
+        rule = proto.normalizer_spec
+        #: Whether normalizing only marks spaces and puts one in front.
+        self.plain = not rule.precompiled_charsmap and rule.add_dummy_prefix and rule.escape_whitespaces and not rule.remove_extra_whitespaces
         usable = [i for i in range(size) if not special[i] and not model.is_byte(i) and self.pieces[i]]
         ranks = all(scores[i] == int(scores[i]) <= 0 for i in usable)
         self.weight = np.array([-alpha * math.log(2 - s) if ranks else alpha * s for s in scores])
         self.fallback = -alpha * math.log(size + 2) if ranks else float(min((self.weight[i] for i in usable), default=0.0)) - 10 * alpha
         self.longest = max((len(self.pieces[i]) for i in usable), default=1)
         self.split = not any(a != _MARK and b == _MARK for i in usable for a, b in zip(self.pieces[i], self.pieces[i][1:], strict=False))
-        hashes = np.array([self._hash(self.pieces[i]) for i in usable], np.uint64)
+        # all beginnings of pieces; ids of those that are pieces, else -1
+        known = {self.pieces[i][:n]: -1 for i in usable for n in range(1, len(self.pieces[i]))}
+        known.update((self.pieces[i], i) for i in usable)
+        hashes = np.array([self._hash(p) for p in known], np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(usable, np.int32)[order]
+        self.hashes, self.ids = hashes[order], np.array(list(known.values()), np.int32)[order]
         if len(np.unique(self.hashes)) != len(self.hashes):
             raise ValueError("two pieces share a hash")
         # an entry for the first piece of each slot; the few others are searched for
@@ -98,26 +114,32 @@ class Vocabulary:
         self.table[slots[first]] = first
         self.crowded = np.zeros(1 << 21, bool)
         self.crowded[slots[np.setdiff1d(np.arange(len(slots)), first)]] = True
-        self.decoded = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] and i != self.unknown else p.replace(_MARK, " ").encode() for i, p in enumerate(self.pieces)]
-
+        decoded = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] and i != self.unknown else p.replace(_MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.width = np.array([len(d) for d in decoded], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.text = np.frombuffer(b"".join(decoded), np.uint8)
         self.lattices = Lattices(self)
 
-    def _hash(self, piece: str) -> int:
-        h = np.zeros(1, np.uint64)
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
         for c in piece:
-            h = self.step(h, np.array([ord(c)], np.uint64))
-        return int(_mix(h)[0])
+            h = (h + ord(c) + 1) * int(_A) & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ h >> 30) * int(_B) & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ h >> 27) * int(_C) & 0xFFFFFFFFFFFFFFFF
+        return h ^ h >> 31
 
     @staticmethod
     def step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
         return (h + code + np.uint64(1)) * _A
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Place of each hash among the pieces, or -1."""
+        """Place of each hash among the beginnings of pieces, or -1."""
         slot = (h >> np.uint64(43)).astype(np.int64)
         at = self.table[slot]
         got = np.where((at >= 0) & (self.hashes[at] == h), at, -1)
-        rest = np.flatnonzero((got < 0) & self.crowded[slot])
+        rest = np.flatnonzero(got < 0)
+        rest = rest[self.crowded[slot[rest]]]
         if len(rest):
             near = np.minimum(np.searchsorted(self.hashes, h[rest]), len(self.hashes) - 1)
             got[rest] = np.where(self.hashes[near] == h[rest], near, -1)
@@ -126,10 +148,20 @@ class Vocabulary:
     def normalized(self, text: str) -> str:
         return self.model.normalize(text)
 
+    def words(self, text: str) -> list[str]:
+        """The parts of the normalized text whose lattices are independent."""
+        if self.plain and self.split and text[0] != " " and "  " not in text and _MARK not in text and "\0" not in text:
+            return (_MARK + text.replace(" ", "\0" + _MARK)).split("\0")
+        norm = self.normalized(text)
+        return (_WORD.findall(norm) if self.split else [norm]) if norm else []
+
     def decode(self, ids) -> str:
         """The text of a segmentation: pieces joined, marks as spaces, without the leading space that encoding adds."""
-        out = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")
-        return out.removeprefix(" ")
+        ids = np.asarray(ids, np.int64)
+        width = self.width[ids]
+        stop = np.cumsum(width)
+        at = np.repeat(self.begin[ids] - stop + width, width) + np.arange(int(stop[-1]) if len(ids) else 0)
+        return self.text[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
@@ -153,9 +185,9 @@ class Lattices:
         self.numbers: dict[str, int] = {}
         self.base = np.zeros(1, np.int64)
         self.is_end = np.empty(0, bool)
-        self.start = self.end = self.piece = np.empty(0, np.int64)
-        self.logp = self.cum = np.empty(0)
-        self.first = self.count = np.empty(0, np.int64)
+        self.start = self.end = self.piece = np.empty(0, np.int32)
+        self.logp = self.cum = self.rest = np.empty(0)
+        self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int8)
 
     def __len__(self):
         return len(self.is_end)
@@ -174,68 +206,99 @@ class Lattices:
         inside[base[1:] - 1] = False
         codes[inside] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         left = np.repeat(base[1:] - 1, lengths + 1) - np.arange(len(codes))  # characters up to the word's end
-        starts, sizes, pieces = [], [], []
+        # places in order of what is left of their word, so that every backward step is one range
+        ranked = np.argsort(np.minimum(left, 0xFFFF).astype(np.uint16), kind="stable")
+        if left.max() >= 0xFFFF:
+            ranked = np.argsort(left, kind="stable")
+        rank = np.empty(len(codes), np.int64)
+        rank[ranked] = np.arange(len(codes))
+        starts, pieces = [], []
         at = np.flatnonzero(inside)
         h = np.zeros(len(at), np.uint64)
         for size in range(1, vocab.longest + 1):
-            if size > 1:
-                keep = left[at] >= size
-                at, h = at[keep], h[keep]
             if not len(at):
                 break
             h = vocab.step(h, codes[at + size - 1])
             got = vocab.find(_mix(h))
-            hit = got >= 0
-            starts.append(at[hit])
-            pieces.append(vocab.ids[got[hit]].astype(np.int64))
-            sizes.append(np.full(len(pieces[-1]), size))
+            found = np.where(got >= 0, vocab.ids[got], np.int32(-1))
             if size == 1:  # characters without a piece: one edge of byte pieces, as -1 - code
-                lone = at[~hit]
-                starts.append(lone)
-                pieces.append(-1 - codes[lone].astype(np.int64))
-                sizes.append(np.ones(len(lone), np.int64))
-        start, size, piece = (np.concatenate(x) for x in (starts, sizes, pieces))
+                starts.append(at)
+                pieces.append(np.where(found >= 0, found, -1 - codes[at].astype(np.int32)).astype(np.int32))
+            else:
+                hit = np.flatnonzero(found >= 0)
+                starts.append(at[hit])
+                pieces.append(found[hit])
+            # on to those that some longer piece begins like, and that have a character left
+            keep = np.flatnonzero((got >= 0) & (left[at] > size))
+            at, h = at[keep], h[keep]
+        spread = np.zeros(len(codes), np.int64)  # edges of each place, by rank
+        for own in starts:
+            spread[rank[own]] += 1
+        begin = np.cumsum(spread) - spread
+        total = int(spread.sum())
+        start, size, piece = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total, np.int32)
+        filled = begin.copy()
+        for n, (own, found) in enumerate(zip(starts, pieces, strict=True), 1):
+            slot = filled[rank[own]]
+            filled[rank[own]] += 1
+            start[slot], size[slot], piece[slot] = own, n, found
         weight = np.where(piece >= 0, vocab.weight[np.maximum(piece, 0)], 0.0)
         lone = np.flatnonzero(piece < 0)
         code = -1 - piece[lone]
         weight[lone] = vocab.fallback * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
         piece[lone] = np.where(code < 128, vocab.one_byte[np.minimum(code, 127)], piece[lone])
         # log mass of all completions, from the ends of the words backwards
-        order = np.argsort(left[start] * len(codes) + start, kind="stable")
-        start, size, piece, weight = start[order], size[order], piece[order], weight[order]
         end = start + size
-        far = left[start]
         beta = np.zeros(len(codes))
+        group = begin[spread > 0]  # first edge of each place
+        owner = ranked[spread > 0]
+        spread = spread[spread > 0]
+        far = left[owner]
         cuts = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]]))
-        new = np.concatenate([[True], start[1:] != start[:-1]])
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(far)], strict=True):
-            mass = weight[a:b] + beta[end[a:b]]
-            first = np.flatnonzero(new[a:b])
+            low, high = int(group[a]), int(group[b - 1] + spread[b - 1])
+            mass = weight[low:high] + beta[end[low:high]]
+            first = group[a:b] - low
             top = np.maximum.reduceat(mass, first)
-            spread = np.diff(np.append(first, b - a))
-            beta[start[a + first]] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, spread)), first))
+            beta[owner[a:b]] = top + np.log(np.add.reduceat(np.exp(mass - np.repeat(top, spread[a:b])), first))
         logp = np.minimum(weight + beta[end] - beta[start], 0.0)
-        group = np.flatnonzero(new)
-        spread = np.diff(np.append(group, len(new)))
-        first, count = np.full(len(codes), -1, np.int64), np.zeros(len(codes), np.int64)
-        first[start[group]], count[start[group]] = group + before, spread
+        first, count = np.full(len(codes), -1, np.int32), np.zeros(len(codes), np.int8)
+        first[owner], count[owner] = group + before, spread
         # cumulative probabilities inside each node; the last edge takes what rounding leaves
         cum = np.exp(logp)
+        last = group + spread - 1
         at = group
         for n in range(1, int(spread.max())):
             at = at[spread > n] + 1
             spread = spread[spread > n]
             cum[at] += cum[at - 1]
-        cum[np.append(group[1:], len(new)) - 1] = np.inf
+        cum[last] = np.inf
+        with np.errstate(divide="ignore"):
+            others = np.log1p(-np.exp(logp))
+        others[group[count[owner] == 1]] = -np.inf
+        self.rest = np.concatenate([self.rest, others])
         self.base = np.concatenate([self.base, base[1:] + shift])
         self.is_end = np.concatenate([self.is_end, ~inside])
-        self.start, self.end = np.concatenate([self.start, start + shift]), np.concatenate([self.end, end + shift])
+        self.start, self.end = np.concatenate([self.start, start + np.int32(shift)]), np.concatenate([self.end, end + np.int32(shift)])
         self.piece, self.logp, self.cum = np.concatenate([self.piece, piece]), np.concatenate([self.logp, logp]), np.concatenate([self.cum, cum])
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
 
+    def mark(self) -> tuple[int, int, int]:
+        return len(self.numbers), len(self.is_end), len(self.start)
+
+    def back_to(self, mark: tuple[int, int, int]) -> None:
+        """Forget the words that were added after a mark."""
+        words, places, edges = mark
+        while len(self.numbers) > words:
+            self.numbers.popitem()
+        self.base = self.base[: words + 1]
+        self.is_end, self.first, self.count = self.is_end[:places], self.first[:places], self.count[:places]
+        for name in ("start", "end", "piece", "logp", "cum", "rest"):
+            setattr(self, name, getattr(self, name)[:edges])
+
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """One edge of each node by its conditional probability."""
-        edge = self.first[node]
+        edge = self.first[node].astype(np.int64)
         open_ = np.flatnonzero(u > self.cum[edge])
         while len(open_):
             edge[open_] += 1
@@ -252,30 +315,57 @@ class Lattices:
                 parts += [pieces[at:i], [self.vocab.bytes[b] for b in raw] if self.vocab.bytes else [self.vocab.unknown]]
                 at = i + 1
             pieces = np.concatenate([*parts, pieces[at:]])
-        return pieces.astype(np.int32)
+        return pieces.astype(np.int32, copy=False)
+
+
+class _Numbering(dict):
+    """Numbers of words: those known, then new ones as they come."""
+
+    def __init__(self, known: dict[str, int]):
+        self.known, self.new = known, []
+
+    def __missing__(self, word: str) -> int:
+        number = self.known.get(word)
+        if number is None:
+            number = len(self.known) + len(self.new)
+            self.new.append(word)
+        self[word] = number
+        return number
 
 
 def seed_of(key, seed: int = SEED) -> int:
     return xxhash.xxh3_64_intdigest(repr(key).encode(), seed)
 
 
+def log_inclusion(x: float) -> float:
+    """ln(1 - exp(-exp(x))); it is x itself where that is small, so it never underflows."""
+    return x if x < -30 else math.log(-math.expm1(-math.exp(min(x, 700.0))))
+
+
 def sample_texts(vocab: Vocabulary, keys: list, texts: list[str | None], samples: int = SAMPLES, seed: int = SEED) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to `samples` tuples (ids, log probability, perturbed log probability, inclusion score), best first.
+    """For each text up to `samples` tuples (ids, log probability, perturbed log probability, log inclusion score), best first.
 
     A null or empty text has one segmentation, the empty one.
     """
-    own = []
-    for text in texts:
-        norm = vocab.normalized(text) if text else ""
-        own.append((_WORD.findall(norm) if vocab.split else [norm]) if norm else [])
+    own = [vocab.words(text) if text else [] for text in texts]
+    flat = list(chain.from_iterable(own))
     lattices = vocab.lattices
     if len(lattices) > KEPT_PLACES:
         lattices = vocab.lattices = Lattices(vocab)
-    numbers = lattices.numbers
-    lattices.add(list(dict.fromkeys(w for words in own for w in words if w not in numbers)))
+    numbering = _Numbering(lattices.numbers)
+    kind = np.fromiter(map(numbering.__getitem__, flat), np.int64, len(flat))
+    known = len(lattices.numbers)
+    often = np.bincount(kind, minlength=known + len(numbering.new))[known:] > 1
+    # words that stand here once are built last, to be forgotten after the slice
+    place_of = np.empty(len(often), np.int64)
+    place_of[often] = np.arange(often.sum())
+    place_of[~often] = np.arange(often.sum(), len(often))
+    kind = np.concatenate([np.arange(known), place_of + known])[kind]
+    lattices.add([w for w, o in zip(numbering.new, often.tolist(), strict=True) if o])
+    mark = lattices.mark()
+    lattices.add([w for w, o in zip(numbering.new, often.tolist(), strict=True) if not o])
     stops = np.cumsum([len(words) for words in own])
     spans = list(zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True))
-    kind = np.array([numbers[w] for words in own for w in words], np.int64)
     base = lattices.base[kind]
     length = lattices.base[kind + 1] - base - 1
     place = np.concatenate([[0], np.cumsum(length)])  # of each word among all characters
@@ -283,12 +373,13 @@ def sample_texts(vocab: Vocabulary, keys: list, texts: list[str | None], samples
     seeds = np.array([seed_of(k, seed) for k in keys], np.uint64)
     docs = len(texts)
     owner = np.repeat(np.arange(docs), [b - a for a, b in spans])
-    root = -np.log(-np.log(uniform(seeds, 0, np.zeros(docs))))
+    root = -np.log(-np.log(uniform(stream(seeds, 0), np.zeros(docs))))
     paths = np.full((samples, int(place[-1])), -1, np.int32)
     emitted: list[list] = [[] for _ in range(docs)]
     # sets: (-maximum, tie, mass, path that it leaves, place where it leaves, edges that it may not take there)
     queues: list[list] = [[(-root[d], 0, 0.0, -1, int(from_[d]), ())] for d in range(docs)]
     for turn in range(samples):
+        split, free_draws, noises = (stream(seeds, 3 * turn + k) for k in (1, 2, 3))
         popped = [heapq.heappop(q) if q else None for q in queues]
         live = np.array([d for d in range(docs) if popped[d] is not None], np.int64)
         path = paths[turn]
@@ -305,7 +396,7 @@ def sample_texts(vocab: Vocabulary, keys: list, texts: list[str | None], samples
             first, n = int(lattices.first[node]), int(lattices.count[node])
             free = [e for e in range(first, first + n) if e not in banned]
             p = np.exp(lattices.logp[free])
-            u = float(uniform(seeds[d : d + 1], 3 * turn + 1, np.array([at - from_[d]]))[0]) * p.sum()
+            u = float(uniform(split[d : d + 1], np.array([at - from_[d]]))[0]) * p.sum()
             i = min(int(np.searchsorted(np.cumsum(p), u)), len(free) - 1)
             edge = free[i]
             path[at] = edge
@@ -319,10 +410,10 @@ def sample_texts(vocab: Vocabulary, keys: list, texts: list[str | None], samples
         todo = np.flatnonzero(place[1:] > place_from) if len(kind) else np.empty(0, np.int64)
         offset = np.maximum(place_from[todo] - place[todo], 0)
         node, spot = base[todo] + offset, place[todo] + offset
-        key = seeds[owner[todo]]
+        key = free_draws[owner[todo]]
         local = spot - from_[owner[todo]]
         while len(node):
-            edge = lattices.draw(node, uniform(key, 3 * turn + 2, local))
+            edge = lattices.draw(node, uniform(key, local))
             path[spot] = edge
             step = lattices.end[edge] - node
             node, spot, local = node + step, spot + step, local + step
@@ -341,38 +432,37 @@ def sample_texts(vocab: Vocabulary, keys: list, texts: list[str | None], samples
                 before[lows[d] + 1 : highs[d]] = sums[:-1]
                 total[d] = sums[-1]
         who = np.repeat(np.arange(docs), highs - lows)
-        j = np.flatnonzero((steps >= resume[who]) & (logp < 0) & (lattices.count[lattices.start[edges]] > 1))
+        left_out = lattices.rest[edges]  # log probability of the other edges there
+        j = np.flatnonzero((steps >= resume[who]) & (left_out > -np.inf))
         d_of = who[j]
-        with np.errstate(divide="ignore"):
-            mass = before[j] + np.log(-np.expm1(logp[j]))
-            noise = -np.log(uniform(seeds[d_of], 3 * turn + 3, steps[j] - from_[d_of]))
-            tops = np.array([-p[0] if p is not None else 0.0 for p in popped])
-            value = -np.logaddexp(-tops[d_of], np.log(noise) - mass)
+        # a set's maximum falls as this grows; it is a Gumbel at the set's mass, cut at the popped maximum
+        height = np.log(-np.log(uniform(noises[d_of], steps[j] - from_[d_of]))) - before[j] - left_out[j]
         cut = np.searchsorted(d_of, np.arange(docs + 1))
         want = samples - turn  # sets that can still matter
         for d in live.tolist():
             top = popped[d][0]
             a, b = int(cut[d]), int(cut[d + 1])
-            best = range(a, b) if b - a <= want else (a + np.argpartition(-value[a:b], want - 1)[:want]).tolist()
+            best = range(a, b) if b - a <= want else (a + np.argpartition(height[a:b], want - 1)[:want]).tolist()
             for x in best:
-                if value[x] > -np.inf:
-                    s = int(j[x])
-                    # the mass is kept before the step, for drawing among the other edges later
-                    heapq.heappush(queues[d], (-float(value[x]), turn, float(before[s]), turn, int(steps[s]), (int(edges[s]),)))
+                s = int(j[x])
+                value = -float(np.logaddexp(top, height[x]))
+                # the mass is kept before the step, for drawing among the other edges later
+                heapq.heappush(queues[d], (-value, turn, float(before[s]), turn, int(steps[s]), (int(edges[s]),)))
             emitted[d].append((-top, float(total[d]), edges[lows[d] : highs[d]]))
         for d, others, at, banned in rests:
-            u = float(uniform(seeds[d : d + 1], 3 * turn + 3, np.array([at - from_[d]]))[0])
+            u = float(uniform(noises[d : d + 1], np.array([at - from_[d]]))[0])
             value_at = -np.logaddexp(popped[d][0], math.log(-math.log(u)) - others)
             heapq.heappush(queues[d], (-float(value_at), turn, popped[d][2], turn, at, banned))
     out = []
     for found, queue in zip(emitted, queues, strict=True):
         limit = -queue[0][0] if queue else -math.inf
-        out.append([(lattices.ids(e), p, float(g), -math.expm1(-math.exp(min(p - limit, 700.0))) if queue else 1.0) for g, p, e in found])
+        out.append([(lattices.ids(e), p, float(g), log_inclusion(p - limit) if queue else 0.0) for g, p, e in found])
+    lattices.back_to(mark)  # words that stood here once are likely rare
     return out
 
 
 def sample(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, path: str | None = None, alpha: float = ALPHA, ids: bool = True, seed: int = SEED) -> DataFrame:
-    """Rows (key, sample, n_tokens, log_prob, perturbed, inclusion, ids_sha256, round_trip[, ids]) of every row of df.
+    """Rows (key, sample, n_tokens, log_prob, perturbed, inclusion, log_inclusion, ids_sha256, round_trip[, ids]) of every row of df.
 
     Each row of df gives up to `samples` distinct segmentations, sample 0 first;
     fewer only where no more exist. Null and empty texts have one, without
@@ -389,20 +479,20 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int
         vocab = vocabulary(path, alpha)
         for part in slices(batches, "text", SLICE):
             keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            at, cols = [], [[] for _ in range(8)]
+            at, cols = [], [[] for _ in range(9)]
             for i, found in enumerate(sample_texts(vocab, keys, texts, samples, seed)):
-                plain = vocab.normalized(texts[i]).replace(_MARK, " ").removeprefix(" ") if texts[i] else ""
-                for n, (tokens, logp, top, inclusion) in enumerate(found):
+                plain = "".join(vocab.words(texts[i])).replace(_MARK, " ").removeprefix(" ") if texts[i] else ""
+                for n, (tokens, logp, top, score) in enumerate(found):
                     at.append(i)
-                    row = (n, len(tokens), logp, top, inclusion, hashlib.sha256(tokens.tobytes()).hexdigest(), vocab.decode(tokens.tolist()) == plain, tokens)
+                    row = (n, len(tokens), logp, top, math.exp(score), score, hashlib.sha256(tokens.tobytes()).hexdigest(), vocab.decode(tokens) == plain, tokens)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
-            names = ("sample", "n_tokens", "log_prob", "perturbed", "inclusion", "ids_sha256", "round_trip", "ids")
+            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
+            names = ("sample", "n_tokens", "log_prob", "perturbed", "inclusion", "log_inclusion", "ids_sha256", "round_trip", "ids")
             width = len(names) if ids else len(names) - 1
             yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols[:width], kinds, strict=False))], names=["key", *names[:width]])
 
-    schema = f"key {kind}, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids
+    schema = f"key {kind}, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
