@@ -17,17 +17,20 @@ A set signs its own band and every band that a larger partner may be in.
 Subsets without elements sign nothing; a set with too few partitions that hold elements for the
 argument (checked for each set, chance about 1e-6) also signs with the band's name
 alone, which suffices because a pair is at risk only if both its sets are such.
+A band's partitions exceed its differences by a margin, so linked sets share
+several signatures; sets that share fewer with all others together are left out
+before classes are made and texts are moved.
 
 Verification. Sets that share a signature are joined into coarse classes (star
 edges found in a range-partitioned sort, which splits hot signatures, then
-connected components). Inside a coarse class the sets are cut into bands of size
-and blocks of BLOCK sets; every pair of blocks from equal or neighbouring bands is
-compared exactly, by products of incidence matrices, and a task returns only a
-spanning forest of the links it finds. Exact copies have one set and take part once.
-
-No pair is lost and none is listed. A coarse class of m different sets, b of them
-in a band and its neighbours, costs m * b / 2 comparisons inside tasks of bounded
-size, and m * b / BLOCK rows are moved.
+connected components). Every pair of sets of a coarse class whose sizes allow a
+link is compared exactly, in tasks of bounded size, by counting common elements;
+a task returns only a spanning forest of the links it finds. Exact copies have one set and
+take part once.
+
+No pair is lost and none is listed. In a coarse class of m different sets, b of
+them in a band of sizes, about m * b comparisons are made inside tasks, and every
+set is moved to two tasks, or to b / BLOCK where bands are that large.
 """
 
 from __future__ import annotations
@@ -43,14 +46,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import components, materialize, slices
+from threadloom.llm.shared import components, discard, materialize, slices
 
 WORDS, NUM, DEN = 4, 85, 100
 BAND = 1.4
-#: Sets and n-grams that a block holds (hot or long ones are cut into more blocks), and bands in a ratio of num / den.
-BLOCK, BLOCK_ITEMS, SPLIT = 1024, 1 << 20, 2
+#: Sets and n-grams of a class, and of a window of sizes, that one task compares; and sets of a block where a window has more.
+CLASS_SETS, CLASS_ITEMS = 512, 1 << 18
+WINDOW_SETS, WINDOW_ITEMS = 3072, 1 << 20
+BLOCK, BLOCK_ITEMS = 1024, 1 << 19
+#: N-grams in up to so many sets of a task are counted pair by pair, others by matrix products.
+RARE = 32
 #: K -> partitions, where subsets of several partitions are enumerated.
 SUBSET_PARTITIONS = {0: 1, 1: 8, 2: 6, 3: 7}
+#: Low bits of a signature that hold the band.
+BAND_MASK = 63
 #: Entries of a worker's cache of word hashes, and of sets already signed by a task.
 CACHE = 1 << 18
 #: Bits of the filter that keeps sets without a candidate from being moved: 1 MB.
@@ -128,12 +137,16 @@ def _plan(band: int, num: int, den: int):
     return k, k + 4 + k // 16, None
 
 
-def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Signatures of a set as signed 64-bit numbers."""
+def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> tuple[np.ndarray, list[int]]:
+    """Signatures of a set as signed 64-bit numbers with the band in the low bits, and how many of each band's any linked set must share.
+
+    Of the partitions that hold elements all but the differing ones are shared, so
+    in a band with at most d differing elements that many less d.
+    """
     size = len(s)
     if not size:
-        return np.empty(0, np.int64)
-    out = []
+        return np.empty(0, np.int64), []
+    out, need = [], []
     partner = size * den // num
     reach = (size + partner) * (den - num) // (den + num)
     value = mix(s * _A)
@@ -145,17 +158,19 @@ def signatures(s: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         sums = np.add.reduceat(value[order], first)
         name = (np.array([band + 1], np.uint64) * _C)[0]
         if picks is None:
-            out.append(mix(sums + name + held.astype(np.uint64) * _A))
+            found = mix(sums + name + held.astype(np.uint64) * _A)
         else:
             full = np.zeros(n, np.uint64)
             full[held] = mix(sums + held.astype(np.uint64))
             some = np.zeros(n, np.uint64)
             some[held] = 1
             used = np.flatnonzero((picks * some).sum(1))
-            out.append(mix((picks * full).sum(1)[used] + name + used.astype(np.uint64) * _A))
+            found = mix((picks * full).sum(1)[used] + name + used.astype(np.uint64) * _A)
         if len(held) <= min(k, reach) and k:
-            out.append(mix(np.array([name], np.uint64)))
-    return np.concatenate(out).view(np.int64)
+            found = np.append(found, mix(np.array([name], np.uint64)))
+        need.append(max(1, len(held) - min(k, reach)) if picks is None else 1)
+        out.append(found & ~np.uint64(BAND_MASK) | np.uint64(band & BAND_MASK))
+    return np.concatenate(out).view(np.int64), need
 
 
 def _once(seen: set, key: int | None) -> bool:
@@ -169,35 +184,48 @@ def _once(seen: set, key: int | None) -> bool:
 
 
 def _sign(source: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Rows (key, th, tk, n, name, signs); a task signs each set once."""
+    """Rows (key, th, tk, n, name, signs, band, need); a task signs each set once."""
 
     def run(batches):
         seen: set = set()
         for part in slices(batches, "text"):
-            sizes, names, signs = [], [], []
+            sizes, names, signs, firsts, needs = [], [], [], [], []
             for text in part.column(3).to_pylist():
                 s = shingles(text, words)
                 sizes.append(len(s))
                 names.append(set_hash(s))
-                signs.append(signatures(s, num, den) if _once(seen, names[-1]) else None)
-            yield pa.record_batch([*part.columns[:3], pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["key", "th", "tk", "n", "name", "signs"])
+                made, need = signatures(s, num, den) if _once(seen, names[-1]) else (None, None)
+                signs.append(made)
+                needs.append(need)
+                firsts.append(_band_of(len(s)) & BAND_MASK if need else None)
+            columns = [pa.array(sizes, pa.int64()), pa.array(names, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(firsts, pa.int32()), pa.array(needs, pa.list_(pa.int32()))]
+            yield pa.record_batch([*part.columns[:3], *columns], names=["key", "th", "tk", "n", "name", "signs", "band", "need"])
 
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, th long, tk int, n long, name long, signs array<long>")
+    return source.mapInArrow(run, f"key {kind}, th long, tk int, n long, name long, signs array<long>, band int, need array<int>")
 
 
-def _stars(signed: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all sets with an equal signature."""
+def _buckets(signed: DataFrame) -> DataFrame:
+    """A stored table of what the sorted signatures show.
+
+    kind 0: edges (a, b) between sets with an equal signature; kind 1: the first and last
+    signature b of a sorted partition and its hub a, as a signature may run on in
+    the next one; kind 2: set a has n signatures of band b that some other set has too.
+    """
     rows = signed.select(F.explode("signs").alias("sign"), "name").repartitionByRange("sign", "name").sortWithinPartitions("sign", "name")
 
     def run(batches):
+        def batch_of(kind, a, b, n=None):
+            return pa.record_batch([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64) if n is None else n)], names=["kind", "a", "b", "n"])
+
         hub_sign = hub = None
         ends: list[tuple[int, int]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             sign, name = (batch.column(i).to_numpy() for i in (0, 1))
-            if hub_sign is None:
+            opens = hub_sign is None
+            if opens:
                 hub_sign, hub = int(sign[0]), int(name[0])
                 ends.append((hub_sign, hub))
             new = np.empty(len(sign), bool)
@@ -207,17 +235,39 @@ def _stars(signed: DataFrame) -> DataFrame:
             hubs = np.where(at >= 0, name[np.maximum(at, 0)], hub)
             differ = hubs != name
             pairs = np.unique(np.stack([hubs[differ], name[differ]]), axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(pairs.shape[1], pa.int64())], names=["a", "b", "sign"])
+            yield batch_of(0, pairs[0], pairs[1])
+            # shared: the run of its signature has another name; runs at the batch's ends may, and count
+            run_of = np.cumsum(new)
+            shared = np.zeros(run_of[-1] + 1, bool)
+            shared[run_of[differ]] = True
+            shared[0] = shared[run_of[-1]] = shared[run_of[0]] = True
+            again = np.zeros(len(sign), bool)
+            again[1:] = ~new[1:] & (name[1:] == name[:-1])
+            kept = np.flatnonzero(shared[run_of] & ~again)
+            found, n = np.unique(np.stack([name[kept], sign[kept] & BAND_MASK]), axis=1, return_counts=True)
+            yield batch_of(2, found[0], found[1], n.astype(np.int64))
             hub_sign, hub = int(sign[-1]), int(hubs[-1])
         if hub_sign is not None and ends[-1][0] != hub_sign:
             ends.append((hub_sign, hub))
-        # a signature may run on in the next partition: its hubs are joined below
-        yield pa.record_batch([pa.array([e[1] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64()), pa.array([e[0] for e in ends], pa.int64())], names=["a", "b", "sign"])
+        yield batch_of(1, np.array([e[1] for e in ends], np.int64), np.array([e[0] for e in ends], np.int64))
 
-    found = materialize(rows.mapInArrow(run, "a long, b long, sign long"), "stars")
-    ends = found.filter("sign is not null").select("sign", "a")
+    return materialize(rows.mapInArrow(run, "kind int, a long, b long, n long"), "buckets")
+
+
+def _able(signed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The signed sets that share as many signatures of a band as a link there takes."""
+    shared = buckets.filter("kind = 2").groupBy(F.col("a").alias("name"), F.col("b").cast("int").alias("at")).agg(F.sum("n").alias("shared"))
+    needs = signed.select("name", F.posexplode("need").alias("step", "least"), "band").distinct()
+    needs = needs.withColumn("at", (F.col("band") + F.col("step")) % (BAND_MASK + 1))
+    able = shared.join(needs, ["name", "at"]).filter(F.col("shared") >= F.col("least")).select("name").distinct()
+    return signed.join(able, "name", "left_semi")
+
+
+def _edges(buckets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets with an equal signature."""
+    ends = buckets.filter("kind = 1").select(F.col("b").alias("sign"), "a")
     across = ends.join(ends.groupBy("sign").agg(F.min("a").alias("b")), "sign").select("a", "b")
-    return found.filter("sign is null").select("a", "b").union(across)
+    return buckets.filter("kind = 0").select("a", "b").union(across)
 
 
 def _may_have(wanted: DataFrame, rows: DataFrame) -> DataFrame:
@@ -239,9 +289,21 @@ def link_matrix(sets: list[np.ndarray], left: np.ndarray | None, num: int, den:
     items, owner = items[order], owner[order]
     new = np.concatenate([[True], items[1:] != items[:-1]])
     run = np.cumsum(new) - 1
-    shared = np.bincount(run)[run] > 1  # elements of one set alone add to no intersection
-    run, owner = run[shared], owner[shared]
-    inter = np.zeros((m, m), np.float64)
+    counts = np.bincount(run)
+    inter = np.zeros(m * m, np.float32)  # counts below 2**24 are exact
+    rare = (counts > 1) & (counts <= RARE)  # elements of one set alone add to no intersection
+    some = rare[run]
+    rare_run, rare_owner = run[some], owner[some]
+    for step in range(1, min(RARE, len(rare_run))):
+        both = np.flatnonzero(rare_run[step:] == rare_run[:-step])
+        if not len(both):
+            break
+        pair = rare_owner[both] * m + rare_owner[both + step]
+        np.add.at(inter, pair, np.float32(1))
+    inter = inter.reshape(m, m)
+    inter += inter.T.copy()
+    often = (counts > RARE)[run]
+    run, owner = run[often], owner[often]
     if len(run):
         column = np.cumsum(np.concatenate([[True], run[1:] != run[:-1]])) - 1
         for low in range(0, int(column[-1]) + 1, COLUMNS):
@@ -249,8 +311,8 @@ def link_matrix(sets: list[np.ndarray], left: np.ndarray | None, num: int, den:
             block = np.zeros((m, int(column[b - 1]) - low + 1), np.float32)
             block[owner[a:b], column[a:b] - low] = 1
             inter += block @ block.T
-    union = sizes[:, None] + sizes[None, :] - inter
-    links = den * inter >= num * union
+    # den * i >= num * (a + b - i), row by row in 64 bits
+    links = np.stack([(den + num) * row.astype(np.int64) >= num * (size + sizes) for row, size in zip(inter, sizes, strict=True)])
     np.fill_diagonal(links, False)
     if left is not None:
         links &= left[:, None] != left[None, :]
@@ -258,11 +320,13 @@ def link_matrix(sets: list[np.ndarray], left: np.ndarray | None, num: int, den:
 
 
 def forest(links: np.ndarray) -> np.ndarray:
-    """For each row of a link matrix the least row of its component."""
+    """For each row of a symmetric link matrix the least row of its component."""
     label = np.arange(len(links))
+    a, b = np.nonzero(np.triu(links))
     while True:
-        least = np.where(links, label[None, :], len(links)).min(1)
-        new = np.minimum(label, least)
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
         new = new[new]
         if (new == label).all():
             return label
@@ -272,27 +336,36 @@ def forest(links: np.ndarray) -> np.ndarray:
 def _tasks(members: DataFrame, num: int, den: int) -> DataFrame:
     """Rows (root, lo, hi, i, j, left, ...) from rows (root, name, n, ...): the comparisons that each set takes part in.
 
-    Sets that link have sizes within a ratio of num / den, so a class is cut into
-    SPLIT bands for each such ratio and only bands at most SPLIT apart meet, block by block.
+    A small class is one task. In others, as sets that link have sizes within a
+    ratio of num / den, bands of that ratio are made and window w holds bands w
+    and w + 1. A window is one task; if it has too many sets, its pairs of
+    blocks are (band w with itself and with band w + 1). i = -1 marks whole tasks.
     """
-    width = math.log(den / num) / SPLIT * (1 + 1e-9)
+    width = math.log(den / num) * (1 + 1e-9)
     rows = members.withColumn("band", F.floor(F.log("n") / width).cast("int"))
-    sizes = rows.groupBy("root", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    sizes = sizes.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
-    rows = rows.join(sizes, "root")
-    blocks = lambda band: F.coalesce(F.element_at("blocks", band), F.lit(0))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("name"), blocks(F.col("band"))).cast("int"))
-    band, own = F.col("band"), F.col("own")
-
-    def met(other, lo, hi, i, j, left):
-        every = F.filter(F.sequence(F.lit(0), blocks(other)), lambda k: k < blocks(other))
-        return F.transform(every, lambda k: F.struct(lo.alias("lo"), hi.alias("hi"), i(k).alias("i"), j(k).alias("j"), left(k).alias("left")))
-
-    inside = met(band, band, band, lambda k: F.least(own, k), lambda k: F.greatest(own, k), lambda k: own <= k)
-    above = [met(band + d, band, band + d, lambda k: own, lambda k: k, lambda k: F.lit(True)) for d in range(1, SPLIT + 1)]
-    below = [met(band - d, band - d, band, lambda k: k, lambda k: own, lambda k: F.lit(False)) for d in range(1, SPLIT + 1)]
+    sizes = rows.groupBy("root", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("items"))
+    band_of = F.map_from_entries(F.collect_list(F.struct("band", F.struct("sets", "items"))))
+    classes = sizes.groupBy("root").agg(band_of.alias("bands"), F.sum("sets").alias("sets"), F.sum("items").alias("items"))
+    rows = rows.join(classes, "root")
+    of = lambda band, what: F.coalesce(F.element_at("bands", band)[what], F.lit(0))
+    blocks = lambda band: F.ceil(F.greatest(of(band, "sets") / BLOCK, of(band, "items") / BLOCK_ITEMS)).cast("int")
+    fits = lambda w: (of(w, "sets") + of(w + 1, "sets") <= WINDOW_SETS) & (of(w, "items") + of(w + 1, "items") <= WINDOW_ITEMS)
+    band = F.col("band")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("name"), blocks(band)).cast("int"))
+    own = F.col("own")
+    task = lambda lo, hi, i, j, left: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), left.alias("left"))
+    none = F.lit(-1)
+    every = lambda other: F.filter(F.sequence(F.lit(0), blocks(other)), lambda k: k < blocks(other))
+    inside = F.transform(every(band), lambda k: task(band, band, F.least(own, k), F.greatest(own, k), own <= k))
+    above = F.transform(every(band + 1), lambda k: task(band, band + 1, own, k, F.lit(True)))
+    below = F.transform(every(band - 1), lambda k: task(band - 1, band, k, own, F.lit(False)))
+    here = F.when(fits(band), F.array(task(band, band, none, none, F.lit(True)))).otherwise(F.concat(inside, above))
+    empty = F.filter(inside, lambda t: F.lit(False))
+    under = F.when(of(band - 1, "sets") == 0, empty).when(fits(band - 1), F.array(task(band - 1, band - 1, none, none, F.lit(True)))).otherwise(below)
+    small = (F.col("sets") <= CLASS_SETS) & (F.col("items") <= CLASS_ITEMS)
+    tasks = F.when(small, F.array(task(none, none, none, none, F.lit(True)))).otherwise(F.concat(here, under))
     rest = [c for c in members.columns if c != "root"]
-    return rows.withColumn("t", F.explode(F.concat(inside, *above, *below))).select("root", "t.*", *rest)
+    return rows.withColumn("t", F.explode(tasks)).select("root", "t.*", *rest)
 
 
 def _compare(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -351,16 +424,26 @@ def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def _classes(source: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Stored rows (key, th, tk, n, name, signs) of all documents, and (name, root) of linked sets."""
-    signed = materialize(_sign(source, words, num, den), "signed")
-    coarse = components(_stars(signed.filter("signs is not null")))
-    texts = signed.filter("signs is not null").groupBy("name").agg(F.min(F.struct("th", "tk")).alias("t"), F.first("n").alias("n"))
+    """Stored rows (key, th, tk, n, name, first) of all documents, and (name, root) of linked sets."""
+    everything = materialize(_sign(source, words, num, den), "signatures")
+    signed = materialize(everything.select("key", "th", "tk", "n", "name", F.col("signs").isNotNull().alias("first")), "sets")
+    every = everything.filter("signs is not null")
+    seen = _buckets(every)
+    # what cannot link is left out, so that it chains no classes together
+    able = materialize(_able(every, seen).select("name", "signs"), "able")
+    discard(everything, seen)
+    buckets = _buckets(able)
+    coarse = components(_edges(buckets))
+    discard(buckets, able)
+    texts = signed.filter("first").groupBy("name").agg(F.min(F.struct("th", "tk")).alias("t"), F.first("n").alias("n"))
     wanted = coarse.withColumnRenamed("node", "name").join(texts, "name").select("root", "name", "n", "t.th", "t.tk")
     wanted = materialize(_tasks(wanted, num, den), "wanted")
     ids = wanted.select("th", "tk").distinct()
     once = _may_have(ids, source.select("th", "tk", "text")).groupBy("th", "tk").agg(F.first("text").alias("text"))
     members = once.join(wanted, ["th", "tk"])
-    return signed, components(_compare(members, words, num, den)).withColumnRenamed("node", "name")
+    links = materialize(_compare(members, words, num, den), "links")
+    discard(wanted)
+    return signed, components(links).withColumnRenamed("node", "name")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, num: int = 4, den: int = 5) -> DataFrame:

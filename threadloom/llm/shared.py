@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,38 +10,35 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of text that one slice of an Arrow batch holds at most, unless one text alone is longer.
-SLICE_CHARS = 4_000_000
-
+from threadloom.sources.storage import new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
+__all__ = ["SLICE_CHARS", "components", "discard", "map_text", "materialize", "new_path", "shared_dir", "slices"]
 
-    Only where that setting is unset, as in local tests, is a folder of this process taken.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_threadloom_dir", None)
-    if not found:
-        found = sc._threadloom_dir = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+#: Characters of text that one slice of an Arrow batch holds at most, unless one text alone is longer.
+SLICE_CHARS = 4_000_000
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder; see storage.materialize(). discard() takes it away again."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that nothing needs any more, and let Spark drop shuffle files that nothing refers to.
 
-    This cuts the lineage: what follows survives a lost executor without
-    recomputing what came before, and several readers share one computation.
+    Spark finds the latter when the driver collects garbage, which a driver with
+    little to do puts off while disks fill.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    SparkSession.getActiveSession()._jvm.System.gc()
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -91,11 +87,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.union(edges.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter(b > a).join(least, "a").filter(F.col("b") != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        large = materialize(large, "large")
+        large, old = materialize(large, "large"), edges
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(least, "a").filter(F.col("b") != F.col("m")).select(b.alias("x"), F.col("m").alias("y"))
         small = down.union(least.select("a", "m")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
         edges = materialize(small, "small")
+        discard(large, old)
         after = state(edges)
         if after == before:
             roots = edges.select(a.alias("node"), b.alias("root"))
