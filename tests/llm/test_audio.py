@@ -55,6 +55,21 @@ def test_old_tags():
     assert got["tags"]["TIT2"] == "Title" and got["tags"]["TPE1"] == "Artist" and got["junk"] == 0
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_a_payload_that_looks_like_an_old_tag(blocks):
+    data = (b"x" * (576 * (blocks - 1) + 505) + b"TAGTitle").ljust(576 * blocks, b"y")
+    raw = A.encode(data)
+    assert raw[-128:-125] == b"TAG"
+    got = A.parse(raw)
+    assert got["payload"] == data and (got["frames"], got["junk"]) == (blocks, 0) and set(got["tags"]) == {"payload_bytes"}
+    tail = b"TAG" + b"Title".ljust(125, b"\0")
+    got = A.parse(raw + tail)
+    assert got["payload"] == data and got["junk"] == 0 and got["tags"]["TIT2"] == "Title"
+    # junk between the frames and a tag leaves the tag
+    got = A.parse(raw + bytes(50) + tail)
+    assert got["payload"] == data[:-576] and got["tags"]["TIT2"] == "Title"
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "aé", b"z"), (None, None, b"z"), (1, "aé", b"z"), (2, "x" * 200_000, b"z")], "doc_id long, text string, media binary")
     stored = A.encode_column(df)

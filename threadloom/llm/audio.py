@@ -113,7 +113,7 @@ def encode(data: bytes) -> bytes:
 
 
 def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Text fields, and where the audio begins and ends."""
+    """Text fields of the ID3v2 tag, and where the rest begins and ends."""
     fields, begin, end = {}, 0, len(data)
     if data[:3] == b"ID3" and len(data) >= 10:
         begin = min(end, 10 + _from_synchsafe(data[6:10]) + (10 if data[5] & 0x10 else 0))
@@ -127,14 +127,16 @@ def _tags(data: bytes) -> tuple[dict[str, str], int, int]:
                 key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
                 fields[key] = value.rstrip("\0")
             at += 10 + size
-    if end - begin >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            if value := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
-                fields.setdefault(name, value)
     return fields, begin, end
 
 
+def _old_tag(data: bytes, at: int, fields: dict[str, str]) -> None:
+    """Adds the text fields of the ID3v1 tag at `at` that are not there yet."""
+    for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+        if value := data[at + a : at + b].split(b"\0")[0].decode("latin-1").strip():
+            fields.setdefault(name, value)
+
+
 def _table(data: bytes, at: int, head: dict) -> dict | None:
     """The variable-bitrate table in a frame, if it has one."""
     for mark, place in ((b"Xing", at + 4 + 2 * head["crc"] + head["side"]), (b"Info", at + 4 + 2 * head["crc"] + head["side"]), (b"VBRI", at + 36)):
@@ -159,16 +161,18 @@ def parse(data: bytes | None) -> dict:
     """Tags, table, exact duration, seek offsets, checksum counts and payload of a stream.
 
     Empty or null data has no frames. Junk between frames is skipped and counted;
-    a payload block counts only if its CRC-32 holds.
+    a payload block counts only if its CRC-32 holds. The last 128 bytes are an ID3v1
+    tag if they begin with TAG and no frame reaches into them.
     """
     data = data or b""
     fields, at, end = _tags(data)
+    tail = end - 128 if end - at >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     out = {"tags": fields, "table": None, "frames": 0, "samples": 0, "seconds": Fraction(0), "offsets": [], "crc_good": 0, "crc_bad": 0, "junk": 0, "bad_blocks": 0}
     blocks, locked, first = [], None, True
-    while at + 4 <= end:
+    while at + 4 <= end and at != tail:
         head = header(data[at : at + 4])
         fits = head and at + head["size"] <= end and (locked is None or head["kind"] == locked)
-        if fits and (at + head["size"] == end or header(data[at + head["size"] : at + head["size"] + 4])):
+        if fits and (at + head["size"] in (tail, end) or header(data[at + head["size"] : at + head["size"] + 4])):
             locked, after = head["kind"], at + head["size"]
             if head["crc"] and head["layer"] == 3:
                 covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head["side"]]
@@ -187,11 +191,16 @@ def parse(data: bytes | None) -> dict:
                     else:
                         out["bad_blocks"] += 1
             first, at = False, after
+            if at > tail:
+                tail = end  # a frame reaches into the last bytes, so they are no tag
             continue
-        nxt = data.find(b"\xff", at + 1, end)
-        nxt = end if nxt < 0 else nxt
+        nxt = data.find(b"\xff", at + 1, tail)
+        nxt = tail if nxt < 0 else nxt
         out["junk"] += nxt - at
         at = nxt
+    if tail < end:
+        _old_tag(data, tail, fields)
+        end = tail
     out["junk"] += max(0, end - at) if at < end else 0
     if locked:
         out["seconds"] = Fraction(out["samples"], locked[2])
