@@ -42,6 +42,21 @@ def test_edge_rows(spark):
     assert L.keep_identified(df, L.train(df)).columns == df.columns
 
 
+def test_more_languages_than_bits_of_a_cell(spark):
+    # each language has words of its own; the last ones are the rarest
+    names = [f"l{i:03d}" for i in range(140)]
+    rows = []
+    for i, name in enumerate(names):
+        letters = [chr(0x4E00 + 40 * i + j) for j in range(40)]
+        rows += [(len(rows) + d, "".join(letters) * 2, name) for d in range(4 if i < 64 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = L.train(df)
+    assert filters.languages == names and len(filters.cells) == 3
+    got = {r.doc_id: r.lang_pred for r in L.identify(df, filters).collect()}
+    assert got == {i: name for i, _, name in rows}
+    assert L.keep_identified(df, filters).count() == len(rows)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")

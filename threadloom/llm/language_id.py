@@ -1,8 +1,9 @@
 """Language identification with n-gram filters whose cells are language bitmasks.
 
-The filter is one array of 64-bit cells; bit l of a cell belongs to language l,
-so one lookup of an n-gram (the AND of its HASHES cells) returns every language
-that contains it: the Bloom filters of all languages, sliced by bit. A text's
+The filter is one array of 64-bit cells for each 64 languages; bit l of a cell
+belongs to language l, so one lookup of an n-gram (the AND of its HASHES cells)
+returns every language that contains it: the Bloom filters of all languages,
+sliced by bit. Every language with labels has a bit. A text's
 n-grams are looked up, hits are counted for each language, and the counts are
 corrected by each filter's false-positive rate. The language with the largest
 corrected share of n-grams wins (ties: the first by code point).
@@ -29,7 +30,7 @@ HASHES = 2
 TRAIN_DOCS = 1500
 MIN_COUNT, KEEP_RATIO = 3, 0.3
 HELD_OUT_OF = 5
-#: The bits of a cell; of more languages the most frequent are learned.
+#: The bits of a cell; more languages have more arrays of cells.
 LANGUAGES = 64
 UNKNOWN = "und"
 #: Texts below this score are rejected where texts are filtered.
@@ -88,30 +89,39 @@ def _cells(h: np.ndarray, k: int) -> np.ndarray:
     return ((h * (_MIX2 + np.uint64(2 * k))) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
+def _words(languages: int) -> int:
+    """How many arrays of cells so many languages need."""
+    return max(1, -(-languages // LANGUAGES))
+
+
 class Filters:
-    """Bit-sliced Bloom filters of up to 64 languages."""
+    """Bit-sliced Bloom filters; language l is bit l % 64 of the cells of word l // 64."""
 
     def __init__(self, languages: list[str], cells: np.ndarray | None = None):
-        if len(languages) > LANGUAGES:
-            raise ValueError(f"at most {LANGUAGES} languages")
         self.languages = languages
-        self.cells = np.zeros(1 << CELL_BITS, np.uint64) if cells is None else cells
+        shape = (_words(len(languages)), 1 << CELL_BITS)
+        self.cells = np.zeros(shape, np.uint64) if cells is None else cells.reshape(shape)
 
     def add(self, index: int, hashes: np.ndarray) -> None:
         for k in range(HASHES):
-            self.cells[_cells(hashes, k)] |= np.uint64(1 << index)
+            self.cells[index // LANGUAGES, _cells(hashes, k)] |= np.uint64(1 << index % LANGUAGES)
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        """Bitmask of the languages that (seem to) contain each n-gram."""
-        out = self.cells[_cells(hashes, 0)]
+    def lookup(self, hashes: np.ndarray, word: int = 0) -> np.ndarray:
+        """Bitmask of the languages of a word that (seem to) contain each n-gram."""
+        cells = self.cells[word]
+        out = cells[_cells(hashes, 0)]
         for k in range(1, HASHES):
-            out = out & self.cells[_cells(hashes, k)]
+            out = out & cells[_cells(hashes, k)]
         return out
 
+    def _counts(self, word: int, masks: np.ndarray) -> list[int]:
+        """How many of a word's masks have the bit of each of its languages."""
+        n = min(LANGUAGES, len(self.languages) - word * LANGUAGES)
+        return [np.count_nonzero(masks & np.uint64(1 << i)) for i in range(n)]
+
     def rates(self) -> np.ndarray:
         """False-positive rate of each language: its share of set bits to the power of HASHES."""
-        n = len(self.languages)
-        share = np.array([np.count_nonzero(self.cells & np.uint64(1 << i)) for i in range(n)]) / len(self.cells)
+        share = np.array([c for w, cells in enumerate(self.cells) for c in self._counts(w, cells)]) / self.cells.shape[1]
         return share**HASHES
 
     def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
@@ -119,9 +129,8 @@ class Filters:
             return UNKNOWN, 0.0
         hits, total = np.zeros(len(self.languages)), 0
         for h in _all_hashes(text):
-            masks = self.lookup(h)
             total += len(h)
-            hits += [np.count_nonzero(masks & np.uint64(1 << i)) for i in range(len(self.languages))]
+            hits += [c for w in range(len(self.cells)) for c in self._counts(w, self.lookup(h, w))]
         if not total:
             return UNKNOWN, 0.0
         share = np.clip((hits / total - rates) / np.maximum(1 - rates, 1e-9), 0, 1)
@@ -132,8 +141,7 @@ class Filters:
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = TRAIN_DOCS) -> Filters:
     """Filters from at most `docs` rows of each language, the first by a hash of their key."""
     rows = df.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    rows = rows.filter(F.col("lang").isin([r["lang"] for r in seen]))
+    seen = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     # twice the rows that are wanted, by a threshold on the hash, then the first of them:
     # no task sees more than about 2 * docs rows of a language, however many there are
     share = F.element_at(F.create_map(*[x for r in seen for x in (F.lit(r["lang"]), F.lit(2.0 * docs / r["n"]))]), F.col("lang")) if seen else F.lit(1.0)
@@ -158,22 +166,28 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     rate = F.col("n") / F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang")) if sizes else F.lit(0.0)
     best = Window.partitionBy("h")
     kept = grams.withColumn("rate", rate).withColumn("top", F.max("rate").over(best)).filter(F.col("rate") >= KEEP_RATIO * F.col("top"))
-    # a cell is the OR of masks: the result is the filter itself, bounded by 2**CELL_BITS cells
-    bit = F.element_at(F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(np.uint64(1 << i).astype(np.int64).item()))]), F.col("lang")) if languages else F.lit(0)
-    masks = kept.groupBy("h").agg(F.bit_or(bit.cast("long")).alias("mask"))
+    # a cell is the OR of masks: the result is the filter itself, bounded by 2**CELL_BITS cells for each 64 languages
+    index = F.element_at(F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))]), F.col("lang")) if languages else F.lit(0)
+    bit = F.element_at(F.create_map(*[x for i in range(LANGUAGES) for x in (F.lit(i), F.lit(np.uint64(1 << i).astype(np.int64).item()))]), F.col("index") % LANGUAGES)
+    masks = kept.withColumn("index", index).groupBy("h", F.floor(F.col("index") / LANGUAGES).cast("int").alias("word")).agg(F.bit_or(bit).alias("mask"))
     filters = Filters(languages)
 
     def place(batches):
-        cells = np.zeros(1 << CELL_BITS, np.uint64)
+        words: dict[int, np.ndarray] = {}
         for batch in batches:
-            h, m = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            for k in range(HASHES):
-                np.bitwise_or.at(cells, _cells(h, k), m)
-        at = np.flatnonzero(cells)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(cells[at].view(np.int64))], names=["cell", "mask"])
-
-    cells = masks.select("h", "mask").mapInArrow(place, "cell int, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toArrow()
-    filters.cells[cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
+            h, m = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 2))
+            word = batch.column(1).to_numpy(zero_copy_only=False)
+            for w in np.unique(word).tolist():
+                cells = words.setdefault(w, np.zeros(1 << CELL_BITS, np.uint64))
+                own = word == w
+                for k in range(HASHES):
+                    np.bitwise_or.at(cells, _cells(h[own], k), m[own])
+        for w, cells in words.items():
+            at = np.flatnonzero(cells)
+            yield pa.record_batch([pa.array(np.full(len(at), w, np.int32)), pa.array(at.astype(np.int32)), pa.array(cells[at].view(np.int64))], names=["word", "cell", "mask"])
+
+    cells = masks.select("h", "word", "mask").mapInArrow(place, "word int, cell int, mask long").groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    filters.cells[cells.column("word").to_numpy(), cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
     return filters
 
 
