@@ -1,4 +1,6 @@
+import hashlib
 import math
+import struct
 from collections import Counter
 
 import pytest
@@ -85,3 +87,11 @@ def test_table(spark):
     assert all(r.round_trip and 0 <= r.inclusion <= 1 and r.log_inclusion <= 0 and math.exp(r.log_inclusion) == r.inclusion and r.n_tokens == len(r.ids) for r in rows)
     assert Counter((r.doc_id, r.sample) for r in rows) == {(1, 0): 2, (1, 1): 2, (None, 0): 1, (2, 0): 1, (3, 0): 1, (3, 1): 1}
     assert S.sample(df.limit(0)).count() == 0
+
+
+def test_the_query_returns_the_sampled_ids(spark):
+    rows = S.query(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert len({r.doc_id for r in rows}) == docs
+    for r in rows:
+        assert r.n_tokens == len(r.ids) and hashlib.sha256(struct.pack(f"<{len(r.ids)}i", *r.ids)).hexdigest() == r.ids_sha256

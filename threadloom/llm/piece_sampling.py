@@ -497,7 +497,7 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
+    return sample(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERY = ("op7_piece_sampling", query)
