@@ -57,6 +57,25 @@ def test_more_languages_than_bits_of_a_cell(spark):
     assert L.keep_identified(df, filters).count() == len(rows)
 
 
+def test_low_scores_with_a_clear_lead_or_a_label_stay(spark):
+    def passage(first):
+        return "".join(chr(first + i) for i in range(100))
+
+    a, b, other, more = (passage(0x4E00 + 200 * i) for i in range(4))
+    f = L.Filters(["a", "b"])
+    for i, text in enumerate((a, b)):
+        for h in L._all_hashes(text):
+            f.add(i, h)
+    lead = a + other + more[:50]  # 0.4 of a, nothing of b
+    mixed = a + b[:90] + other + more[:20]  # 0.3 of a, a little less of b
+    rows = [(0, lead, None), (1, mixed, "a"), (2, mixed, None), (3, mixed, "b"), (4, other, "a"), (5, a, "b"), (6, a + b[:90], None)]
+    got = {r.key: r for r in L.identify(spark.createDataFrame(rows, "key long, text string, lang string"), f, "key").collect()}
+    assert all(got[i].lang_pred == "a" and 0.25 < got[i].score < 0.45 for i in (0, 1, 2, 3))
+    left = L.keep_identified(spark.createDataFrame(rows, "key long, text string, lang string"), f)
+    assert sorted(r.key for r in left.collect()) == [0, 1, 5, 6]
+    assert L.keep_identified(spark.createDataFrame(rows, "key long, text string, lang string").drop("lang"), f).count() == 3
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")

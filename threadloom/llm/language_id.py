@@ -33,8 +33,10 @@ HELD_OUT_OF = 5
 #: The bits of a cell; more languages have more arrays of cells.
 LANGUAGES = 64
 UNKNOWN = "und"
-#: Texts below this score are rejected where texts are filtered.
+#: Texts below this score are rejected where texts are filtered, unless their label agrees
+#: or the best language leads the second by CLEAR_LEAD and has a score of CLEAR_SCORE.
 LEAST_SCORE = 0.5
+CLEAR_SCORE, CLEAR_LEAD = 0.3, 0.25
 #: Code points that are looked at in one step; the n-grams across steps are kept.
 STEP = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -124,19 +126,35 @@ class Filters:
         share = np.array([c for w, cells in enumerate(self.cells) for c in self._counts(w, cells)]) / self.cells.shape[1]
         return share**HASHES
 
-    def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
+    def shares(self, text: str | None, rates: np.ndarray) -> np.ndarray | None:
+        """Corrected share of the text's n-grams in each language; None without n-grams or languages."""
         if not text or not self.languages or not _letters()[_codes(text)].any():
-            return UNKNOWN, 0.0
+            return None
         hits, total = np.zeros(len(self.languages)), 0
         for h in _all_hashes(text):
             total += len(h)
             hits += [c for w in range(len(self.cells)) for c in self._counts(w, self.lookup(h, w))]
         if not total:
+            return None
+        return np.clip((hits / total - rates) / np.maximum(1 - rates, 1e-9), 0, 1)
+
+    def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
+        share = self.shares(text, rates)
+        if share is None:
             return UNKNOWN, 0.0
-        share = np.clip((hits / total - rates) / np.maximum(1 - rates, 1e-9), 0, 1)
         best = int(share.argmax())
         return self.languages[best], float(share[best])
 
+    def identified(self, text: str | None, lang: str | None, rates: np.ndarray, least: float = LEAST_SCORE) -> bool:
+        """Whether a text has an identifiable language. A small lead alone rejects no text, as texts may mix languages."""
+        share = self.shares(text, rates)
+        if share is None:
+            return False
+        best = int(share.argmax())
+        second = np.partition(share, -2)[-2] if len(share) > 1 else share[best]
+        clear = share[best] >= CLEAR_SCORE and share[best] - second >= CLEAR_LEAD
+        return bool(share[best] >= least or clear or (share[best] > 0 and lang == self.languages[best]))
+
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs: int = TRAIN_DOCS) -> Filters:
     """Filters from at most `docs` rows of each language, the first by a hash of their key."""
@@ -211,16 +229,16 @@ def identify(df: DataFrame, filters: Filters, key: str = "doc_id", text: str = "
     return map_text(source, run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
-def keep_identified(df: DataFrame, filters: Filters, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of df whose text has a language with a score of at least `least`; all columns stay."""
+def keep_identified(df: DataFrame, filters: Filters, text: str = "text", least: float = LEAST_SCORE, lang: str = "lang") -> DataFrame:
+    """The rows of df whose text has an identifiable language (see Filters.identified()); all columns stay. Labels are read where df has them."""
     sent = df.sparkSession.sparkContext.broadcast((filters.languages, filters.cells.tobytes(), filters.rates()))
-    place = df.columns.index(text)
+    place, label = df.columns.index(text), df.columns.index(lang) if lang in df.columns else None
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         languages, cells, rates = sent.value
         here = Filters(languages, np.frombuffer(cells, np.uint64))
-        found = [here.predict(t, rates) for t in part.column(place).to_pylist()]
-        return part.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+        labels = [None] * part.num_rows if label is None else part.column(label).to_pylist()
+        return part.filter(pa.array([here.identified(t, k, rates, least) for t, k in zip(part.column(place).to_pylist(), labels, strict=True)], pa.bool_()))
 
     return map_text(df, run, df.schema, text)
 
