@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm.shared import map_text, slices
+from threadloom.llm.shared import map_arrow, map_text, slices
 
 UNIT = 576
 #: Fixed values of the format: kbit/s by (MPEG-1?, layer), Hz by version bits.
@@ -247,7 +247,7 @@ def parse_column(df: DataFrame, key: str = "doc_id", media: str = "media") -> Da
             )
 
     schema = f"key {kind}, tags map<string,string>, {', '.join(n + ' long' for n in names)}, seconds_num long, seconds_den long, offsets array<long>, payload binary"
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_arrow(source, run, schema).withColumnRenamed("key", key)
 
 
 def digests(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
@@ -269,7 +269,7 @@ def digests(stored: DataFrame, key: str = "doc_id", media: str = "media") -> Dat
             yield pa.record_batch([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = f"key {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_arrow(source, run, schema).withColumnRenamed("key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import map_text, materialize
+from threadloom.llm.shared import map_arrow, map_text, materialize
 
 ORDERS = (3, 4)
 CELL_BITS = 20
@@ -178,7 +178,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             h, n = np.unique(np.concatenate(arrays), return_counts=True)
             yield pa.record_batch([pa.array([language] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
-    grams = sample.mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+    grams = map_arrow(sample, run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
     sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     rate = F.col("n") / F.element_at(F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang")) if sizes else F.lit(0.0)
@@ -204,7 +204,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
             at = np.flatnonzero(cells)
             yield pa.record_batch([pa.array(np.full(len(at), w, np.int32)), pa.array(at.astype(np.int32)), pa.array(cells[at].view(np.int64))], names=["word", "cell", "mask"])
 
-    cells = masks.select("h", "word", "mask").mapInArrow(place, "word int, cell int, mask long").groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
+    cells = map_arrow(masks.select("h", "word", "mask"), place, "word int, cell int, mask long").groupBy("word", "cell").agg(F.bit_or("mask").alias("mask")).toArrow()
     filters.cells[cells.column("word").to_numpy(), cells.column("cell").to_numpy()] = cells.column("mask").to_numpy().view(np.uint64)
     return filters
 

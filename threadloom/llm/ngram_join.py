@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import components, discard, materialize, slices
+from threadloom.llm.shared import components, discard, map_arrow, materialize, slices
 
 WORDS, NUM, DEN = 4, 85, 100
 BAND = 1.4
@@ -79,6 +79,12 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def _forget() -> None:
+    _WORDS.clear()
+    _plan.cache_clear()
+    _band_of.cache_clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _B
     h = (h ^ (h >> np.uint64(27))) * _C
@@ -202,7 +208,7 @@ def _sign(source: DataFrame, words: int, num: int, den: int) -> DataFrame:
             yield pa.record_batch([*part.columns[:3], *columns], names=["key", "th", "tk", "n", "name", "signs", "band", "need"])
 
     kind = source.schema["key"].dataType.simpleString()
-    return source.mapInArrow(run, f"key {kind}, th long, tk int, n long, name long, signs array<long>, band int, need array<int>")
+    return map_arrow(source, run, f"key {kind}, th long, tk int, n long, name long, signs array<long>, band int, need array<int>", _forget)
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -251,7 +257,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
             ends.append((hub_sign, hub))
         yield batch_of(1, np.array([e[1] for e in ends], np.int64), np.array([e[0] for e in ends], np.int64))
 
-    return materialize(rows.mapInArrow(run, "kind int, a long, b long, n long"), "buckets")
+    return materialize(map_arrow(rows, run, "kind int, a long, b long, n long"), "buckets")
 
 
 def _able(signed: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -400,7 +406,7 @@ def _compare(members: DataFrame, words: int, num: int, den: int) -> DataFrame:
         a, b = found(key, held)
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long", _forget)
 
 
 def join_components(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:

@@ -41,14 +41,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm.shared import slices
+from threadloom.llm.shared import map_arrow, slices
 
 SAMPLES, ALPHA = 2, 1.0
 MODEL = "piece_bpe_32k.model"
 SEED = 20240229
-SLICE = 1_500_000
-#: Places of lattices that a worker keeps from one slice to the next.
-KEPT_PLACES = 1_000_000
+SLICE = 400_000
+#: Places of lattices that a task keeps from one slice to the next.
+KEPT_PLACES = 400_000
 _MARK = "▁"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _WORD = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
@@ -171,6 +171,12 @@ def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
     return _LOADED[path, alpha]
 
 
+def _forget() -> None:
+    """Drop the lattices that this worker keeps; the models stay."""
+    for vocab in _LOADED.values():
+        vocab.lattices = Lattices(vocab)
+
+
 def model_path(name: str = MODEL) -> str:
     import public_tokenizers
 
@@ -493,7 +499,7 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int
             yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols[:width], kinds, strict=False))], names=["key", *names[:width]])
 
     schema = f"key {kind}, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_arrow(source, run, schema, _forget).withColumnRenamed("key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.sources.storage import new_path, shared_dir
 
-__all__ = ["SLICE_CHARS", "components", "discard", "map_text", "materialize", "new_path", "shared_dir", "slices"]
+__all__ = ["SLICE_CHARS", "components", "discard", "map_arrow", "map_text", "materialize", "new_path", "shared_dir", "slices"]
 
 #: Characters of text that one slice of an Arrow batch holds at most, unless one text alone is longer.
 SLICE_CHARS = 4_000_000
@@ -57,6 +58,33 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_CH
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return memory that is free inside this process to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it has no such call
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, forget: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow(run, schema), whose tasks leave nothing behind in their worker.
+
+    Spark uses workers again in later stages, so what one operator keeps there
+    would add to what the next one needs. `forget` clears the operator's caches.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: str = "text") -> DataFrame:
     """Apply fn to Arrow slices of df that are bounded by the size of a string column."""
 
@@ -64,7 +92,7 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
         for part in slices(batches, column):
             yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

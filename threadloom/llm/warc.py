@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.shared import materialize, new_path, slices
+from threadloom.llm.shared import map_arrow, materialize, new_path, slices
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -196,7 +196,7 @@ def write_bundles(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
         if writer is not None:
             yield close()
 
-    return rows.mapInArrow(run, "path string, size long, records long")
+    return map_arrow(rows, run, "path string, size long, records long")
 
 
 def read_bundles(bundles: DataFrame, folder: str) -> DataFrame:
@@ -225,7 +225,7 @@ def read_bundles(bundles: DataFrame, folder: str) -> DataFrame:
                         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return bundles.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_arrow(bundles, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
