@@ -1,6 +1,9 @@
+import base64
 import hashlib
+import json
 import random
 import re
+import time
 
 from threadloom.llm import secrets_scan as S
 
@@ -61,3 +64,42 @@ def test_table(spark):
     assert S.digests(df.limit(0)).count() == 0
     assert S.scan(df).count() == 5
     assert {r.text for r in S.redact_rows(df).filter("doc_id = 1").collect()} == {"[assign removed]"}
+
+
+def plain_added(text):
+    """Web tokens and key blocks by trying every place."""
+    out, done = [], 0
+    for m in re.finditer(r"(?=(eyJ[\w-]+)\.([\w-]+)\.([\w-]+))", text, re.A):
+        try:
+            head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
+        except (ValueError, RecursionError):
+            continue
+        if m.start() >= done and isinstance(head, dict) and "alg" in head:
+            done = m.end(3)
+            out.append((m.start(), done, "webtoken"))
+    done = 0
+    for m in re.finditer(r"(?=-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----)", text):
+        mark = f"-----END {m[1]}-----"
+        at = text.find(mark, m.start() + 16 + len(m[1]))
+        if m.start() >= done and at >= 0:
+            done = at + len(mark)
+            out.append((m.start(), done, "key"))
+    return sorted(out, key=lambda s: (s[0], S.KINDS.index(s[2])))
+
+
+def test_added_kinds_equal_brute_force_on_random_texts():
+    rng = random.Random(9)
+    heads = [base64.urlsafe_b64encode(json.dumps(h, ensure_ascii=False).encode()).decode().rstrip("=") for h in ({"alg": "x"}, {"a": {"alg": 1}}, {"alg": "é日"}, [1], {"k": '{"alg":1}'})]
+    parts = [*heads, "eyJ", ".", "-", "a", "b9", "\n", " ", "é", "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "PRIVATE KEY", "-----"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert [s for s in S.find_spans(text) if s[2] in ("webtoken", "key")] == plain_added(text), text
+
+
+def test_crafted_texts_neither_raise_nor_take_long():
+    deep = base64.urlsafe_b64encode(b'{"a":' * 30_000 + b"1" + b"}" * 30_000).decode().rstrip("=")
+    crafted = ["eyJ" * 300_000, "eyJ" * 300_000 + ".a.b", deep + ".a.b", "-----BEGIN PRIVATE KEY-----" * 30_000, "".join(f"-----BEGIN A{i} PRIVATE KEY-----" for i in range(30_000)), "-----BEGIN " + "A " * 300_000, "token " + " " * 500_000 + "=", "AKIA" * 200_000, "secret" * 100_000, "eyJ." * 100_000, "f" * 1_000_000]
+    for text in crafted:
+        start = time.time()
+        S.find_spans(text)
+        assert time.time() - start < 20, text[:30]

@@ -8,6 +8,9 @@
    CRC-32 in base 62 at the end of host tokens, decodable headers of signed web
    tokens, closed private-key blocks.
 
+Time is linear in the text, whatever it says: a run of token characters is read
+once for all hits in it, and ends of key blocks are listed once.
+
 Spans are [start, end) in code points. Matches of one kind never overlap.
 """
 
@@ -19,6 +22,7 @@ import json
 import re
 import string
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 import numpy as np
@@ -55,8 +59,12 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HOST = re.compile(r"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-_WEB = re.compile(r"(eyJ[\w-]+)\.([\w-]+)\.([\w-]+)", re.ASCII)
-_KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_WEB_RUN = re.compile(r"[\w-]++", re.ASCII)
+_WEB_REST = re.compile(r"\.[\w-]++\.[\w-]++", re.ASCII)
+_KEY = re.compile(r"-----BEGIN ((?:[A-Z0-9]++ )*?)PRIVATE KEY-----")
+_KEY_END = re.compile(r"(?=-----END ((?:[A-Z0-9]++ )*?)PRIVATE KEY-----)")
+_JSON_SPACE = re.compile(r"[ \t\n\r]*")
+_DECODER = json.JSONDecoder()
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -79,12 +87,50 @@ def crc_base62(body: str) -> str:
     return out
 
 
-def _header(part: str) -> bool:
+class _WebRun:
+    """A run of web-token characters: which of its positions begin a header, and where the token ends.
+
+    Headers that begin at places equal modulo 4 end in the same bytes, so the
+    run is decoded four times at most, however many hits it has.
+    """
+
+    def __init__(self, text: str, start: int):
+        self.text, self.stop = text, _WEB_RUN.match(text, start).end()
+        rest = _WEB_REST.match(text, self.stop)
+        self.end = rest.end() if rest else None
+        self.decoded: dict[int, tuple[int, str, int]] = {}
+
+    def opens(self, start: int) -> bool:
+        """Whether the characters from start to the run's end are a JSON object with a member `alg`."""
+        size = self.stop - start
+        if self.end is None or size % 4 == 1:
+            return False
+        if start % 4 not in self.decoded:
+            raw = base64.urlsafe_b64decode(self.text[start : self.stop] + "=" * (-size % 4))
+            # one character for each byte where bytes are ASCII, as they are up to the strings
+            body = raw.decode("latin-1")
+            good = _valid_from(raw) if body.rstrip(" \t\n\r").endswith("}") else len(body)
+            self.decoded[start % 4] = (start, body, good)
+        first, body, good = self.decoded[start % 4]
+        at = (start - first) // 4 * 3
+        if at < good:
+            return False
+        try:
+            got, end = _DECODER.raw_decode(body, at)
+        except (ValueError, RecursionError):
+            return False
+        return _JSON_SPACE.match(body, end).end() == len(body) and isinstance(got, dict) and "alg" in got
+
+
+def _valid_from(raw: bytes) -> int:
+    """The first place from which all bytes are UTF-8; bytes before an ASCII character do not matter to it."""
     try:
-        got = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except ValueError:
-        return False
-    return isinstance(got, dict) and "alg" in got
+        raw.decode()
+        return 0
+    except UnicodeDecodeError:
+        text = raw.decode("utf-8", "surrogateescape")
+    last = max((m.end() for m in re.finditer("[\udc80-\udcff]", text)), default=0)
+    return len(text[:last].encode("utf-8", "surrogateescape"))
 
 
 def _hex_spans(text: str) -> list[tuple[int, int]]:
@@ -115,6 +161,8 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     lowered = text.encode().lower().decode()  # bytes lower only A-Z
     out: list[tuple[int, int, str]] = [(a, b, "hex") for a, b in _hex_spans(text)]
     done = dict.fromkeys(KINDS, 0)
+    run: _WebRun | None = None
+    ends: dict[str, list[int]] | None = None
     hits = sorted((last + 1 - size, kind) for last, (size, kind) in _AUTOMATON.iter(lowered))
     for start, kind in hits:
         if start < done[kind]:
@@ -134,14 +182,22 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
                 done[kind] = m.end()
                 out.append((start, m.end(), kind))
         elif kind == "webtoken":
-            if (m := _WEB.match(text, start)) and _header(m[1]):
-                done[kind] = m.end()
-                out.append((start, m.end(), kind))
+            if not text.startswith("eyJ", start):
+                continue
+            if run is None or start >= run.stop:
+                run = _WebRun(text, start)
+            if run.opens(start):
+                done[kind] = run.end
+                out.append((start, run.end, kind))
         elif m := _KEY.match(text, start):
-            mark = f"-----END {m[1]}-----"
-            at = text.find(mark, m.end())
-            if at >= 0:
-                done[kind] = at + len(mark)
+            if ends is None:
+                ends = {}
+                for e in _KEY_END.finditer(text):
+                    ends.setdefault(e[1], []).append(e.start())
+            places = ends.get(m[1], ())
+            nth = bisect_left(places, m.end())
+            if nth < len(places):
+                done[kind] = places[nth] + len(f"-----END {m[1]}PRIVATE KEY-----")
                 out.append((start, done[kind], kind))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
