@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from fractions import Fraction
@@ -79,3 +80,60 @@ def test_table(spark):
     assert one.payload_bytes == 576 and one.tail_crc32 == zlib.crc32(payload[-32:]) and got[None, 0].payload_bytes == 576 and got[2, 200_000].payload_bytes == 576 * 348
     assert A.parse_column(stored).filter("crc_bad = 0 and size(offsets) = frames").count() == 4
     assert A.digests(A.encode_column(df.limit(0))).count() == 0
+
+
+def test_table_fields_beyond_the_stream():
+    frame = bytes([0xFF, 0xF2, 0x10, 0xC0]).ljust(36, b"\0") + b"VBRI"
+    head = A.header(frame[:4])
+    for cut in range(len(frame)):
+        A.parse(frame[:cut])
+    assert A.parse(frame[: head["size"]] * 2)["frames"] == 2
+
+
+def test_any_bytes_are_read():
+    rng = random.Random(4)
+    raw = A.encode(b"some text" * 200)
+    tags = [b"ID3\x04\0\0\0\0\0\x10", b"ID3\x03\0\x10\x7f\x7f\x7f\x7f", b"TAG", b"TXXX\0\0\0\xff", b"Xing\0\0\0\x0f", b"VBRI", b"\xff\xfb\x90\0", b"\xff\xf3\x10\xc0", b"\xff\xff"]
+    for _ in range(3000):
+        data = b"".join(rng.choice([rng.choice(tags), rng.randbytes(rng.randrange(40)), raw[(at := rng.randrange(len(raw))) : at + rng.randrange(900)]]) for _ in range(rng.randrange(8)))
+        got = A.parse(data)
+        assert got["frames"] >= 0 and 0 <= got["junk"] <= len(data)
+
+
+def plain_stream(data):
+    """The stored form, built field by field from its description."""
+    body = data + b"\xff" * (-len(data) % 576 if data else 576)
+    blocks = [body[i : i + 576] for i in range(0, len(body), 576)]
+
+    def crc(bits):
+        register = 0xFFFF
+        for bit in bits:
+            top = register >> 15 ^ bit
+            register = register << 1 & 0xFFFF ^ (0x8005 if top else 0)
+        return register.to_bytes(2, "big")
+
+    def frame(rate_index, inside, size):
+        head = bytes([0b11111111, 0b11110010, rate_index << 4 | 0b1000, 0b11000000])  # MPEG-2 Layer III with CRC, 16 kHz, mono
+        covered = head[2:] + bytes(9)
+        return (head + crc([b >> k & 1 for b in covered for k in range(7, -1, -1)]) + bytes(9) + inside).ljust(size, b"\0")
+
+    total = 216 + 648 * len(blocks)
+    toc = bytes(min(255, (216 + len(blocks) * p // 100 * 648) * 256 // total) for p in range(100))
+    text = b"\x03payload_bytes\0" + str(len(data)).encode()
+    tag = b"ID3\x04\0\0" + bytes([0, 0, 0, 10 + len(text)]) + b"TXXX" + bytes([0, 0, 0, len(text), 0, 0]) + text
+    return tag + frame(6, b"Xing" + bytes([0, 0, 0, 7]) + len(blocks).to_bytes(4, "big") + total.to_bytes(4, "big") + toc, 216) + b"".join(frame(13, b + zlib.crc32(b).to_bytes(4, "big"), 648) for b in blocks)
+
+
+def test_digests_equal_plainly_built_streams(spark):
+    texts = [None, "", "a", "é日🙂" * 100, "TAG" * 400, "x" * 576, "y" * 577, "\x00\xff" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in A.digests(A.encode_column(df)).collect()}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        media, n = plain_stream(data), len(payload) // 576
+        start = len(media) - 648 * n
+        seek = zlib.crc32(b"".join((start + 648 * k).to_bytes(8, "big") for k in range(n)))
+        feature = f"seconds={Fraction(576 * n, 16000)};frames={n};table={n};crc={n + 1}/{n + 1};bad=0;junk=0;seek={seek:08x}"
+        want = (i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+        assert tuple(got[i]) == want

@@ -137,24 +137,24 @@ def _old_tag(data: bytes, at: int, fields: dict[str, str]) -> None:
             fields.setdefault(name, value)
 
 
-def _table(data: bytes, at: int, head: dict) -> dict | None:
-    """The variable-bitrate table in a frame, if it has one."""
-    for mark, place in ((b"Xing", at + 4 + 2 * head["crc"] + head["side"]), (b"Info", at + 4 + 2 * head["crc"] + head["side"]), (b"VBRI", at + 36)):
-        if data[place : place + 4] != mark:
-            continue
-        if mark == b"VBRI":
-            size, frames = struct.unpack(">II", data[place + 10 : place + 18])
-            return {"frames": frames, "bytes": size, "toc": b""}
-        flags = int.from_bytes(data[place + 4 : place + 8], "big")
-        got, place = {"frames": None, "bytes": None, "toc": b""}, place + 8
-        for bit, name in ((1, "frames"), (2, "bytes")):
-            if flags & bit:
-                got[name] = int.from_bytes(data[place : place + 4], "big")
-                place += 4
-        if flags & 4:
-            got["toc"] = data[place : place + 100]
-        return got
-    return None
+def _table(frame: bytes, head: dict) -> dict | None:
+    """The variable-bitrate table in a frame, if it has one; fields that would lie beyond the frame are missing."""
+    at = 4 + 2 * head["crc"] + head["side"]
+    if frame[36:40] == b"VBRI" and len(frame) >= 54:
+        size, frames = struct.unpack_from(">II", frame, 46)
+        return {"frames": frames, "bytes": size, "toc": b""}
+    if frame[at : at + 4] not in (b"Xing", b"Info") or len(frame) < at + 8:
+        return None
+    flags, at = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
+    got = {"frames": None, "bytes": None, "toc": b""}
+    for bit, name in ((1, "frames"), (2, "bytes")):
+        if flags & bit:
+            if at + 4 <= len(frame):
+                got[name] = int.from_bytes(frame[at : at + 4], "big")
+            at += 4
+    if flags & 4 and at + 100 <= len(frame):
+        got["toc"] = frame[at : at + 100]
+    return got
 
 
 def parse(data: bytes | None) -> dict:
@@ -178,7 +178,7 @@ def parse(data: bytes | None) -> dict:
                 covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head["side"]]
                 good = crc16(covered) == int.from_bytes(data[at + 4 : at + 6], "big")
                 out["crc_good" if good else "crc_bad"] += 1
-            if first and (found := _table(data, at, head)):
+            if first and (found := _table(data[at:after], head)):
                 out["table"] = found
             else:
                 out["frames"] += 1
@@ -225,7 +225,11 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def parse_column(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """Rows with tags, exact duration (samples, rate), seek offsets, checksum results and payload of every stored form."""
+    """Rows with tags, exact duration (samples, rate), seek offsets, checksum results and payload of every stored form.
+
+    Any bytes are read, see parse(); null keys and repeated rows are kept; other
+    columns are ignored whatever their names; an empty table gives no rows.
+    """
     source = df.select(df[key].alias("key"), df[media].alias("media"))
     kind = source.schema["key"].dataType.simpleString()
     names = "frames samples crc_good crc_bad bad_blocks junk".split()
@@ -251,7 +255,12 @@ def parse_column(df: DataFrame, key: str = "doc_id", media: str = "media") -> Da
 
 
 def digests(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """What parse() reads back from every stored form, as digests."""
+    """What parse() reads back from every stored form, as digests.
+
+    A null or empty stored form has no frames, and digests of the empty payload;
+    null keys and repeated rows are kept; other columns are ignored whatever
+    their names; an empty table gives no rows.
+    """
     source = stored.select(stored[key].alias("key"), stored[media].alias("media"))
     kind = source.schema["key"].dataType.simpleString()
 
