@@ -1,5 +1,7 @@
 import random
 
+import pyarrow.parquet as pq
+
 from threadloom.llm import token_counts as T
 
 PARTS = ["the", " ", "  ", "\n", "\t", "don't", "é", "日本", "123", "...", "<|endoftext|>", "<|endof", "x" * 30, " ", "\x1c", " ", "🙂", " a", "-", "\r\n", "'s"]
@@ -10,10 +12,26 @@ def texts(n, size, seed):
     return ["".join(rng.choice(PARTS) for _ in range(rng.randrange(size))) for _ in range(n)]
 
 
-def test_piecewise_counts_equal_the_library():
+def test_counts_equal_the_library():
     tok = T.tokenizer(T.vocabulary_path())
     some = texts(1500, 25, 3)
-    assert T.count_texts(tok, some) == [len(tok.encode(t, add_special_tokens=False)) for t in some]
+    assert [T.count_text(tok, t, 16, 4) for t in some] == [len(tok.encode(t, add_special_tokens=False)) for t in some]
+
+
+def test_most_characters_of_documents_are_spliced():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    tok = T.tokenizer(T.vocabulary_path())
+    sizes = [len(t or "") for t in texts]
+    assert sum(n for n in sizes if n > T.CHUNK) > sum(sizes) / 2
+    long = [t for t in texts if t and len(t) > T.CHUNK][:300]
+    assert [T.count_text(tok, t) for t in long] == [len(tok.encode(t, add_special_tokens=False)) for t in long]
+    assert all(len(list(T.spliced(tok, t))) > 1 for t in long)
+
+
+def test_a_text_without_a_place_to_splice_is_encoded_whole():
+    tok = T.tokenizer(T.vocabulary_path())
+    for t in ("x" * 30_000, "\n" * 20_000, " " * 20_000, "日本" * 5000):
+        assert T.count_text(tok, t, 512, 16) == len(tok.encode(t, add_special_tokens=False))
 
 
 def test_spliced_ids_equal_the_library():

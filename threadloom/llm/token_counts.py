@@ -1,10 +1,7 @@
-"""Token counts of whole texts; huge ones are encoded in overlapping chunks and spliced.
+"""Token counts of whole texts; longer ones are encoded in overlapping chunks and spliced.
 
-A text of up to CHUNK characters is cut wherever the pre-tokenizer must start a
-piece whatever stands around: before a space and around a line feed between other
-characters, and between a letter and a mark that follows it. Each part that a worker has not
-met lately is encoded once. A longer text is cut into chunks that overlap. Both encodings of an overlap carry offsets; they are
-spliced at the first position where
+A text of more than CHUNK characters is cut into chunks that overlap. Both
+encodings of an overlap carry offsets; they are spliced at the first position where
 
 * the text has a space after a character that is not white space, before one
   that is not either. The pre-tokenizer starts a piece there whatever stands
@@ -15,12 +12,14 @@ spliced at the first position where
 Tokens before that position come from the left chunk, those from it on from the
 right chunk. Where an overlap has no such position (long runs without a space),
 the overlap doubles and the right chunk is encoded anew, up to the whole rest.
+Only two chunks are held at a time, however long the text is.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,15 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm.shared import map_text
 
-CHUNK, OVERLAP = 65_536, 512
-#: Parts whose counts a worker keeps (some 100 MB).
-CACHE = 1 << 20
+CHUNK, OVERLAP = 2048, 64
 MAX_TOKENS = 1024
 TOKENIZER = "byte_bpe_50k.json"
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
-_PARTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)|(?<=[^\W\d_])(?=[.,;:!?])")
 _LOADED: dict = {}
-_KEPT: dict = {}
 
 
 def tokenizer(path: str):
@@ -58,43 +53,51 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ids of text, encoded in chunks; equal to those of the whole text."""
-    out: list[int] = []
-    start, size = 0, len(text)
-    left = tok.encode(text[:chunk], add_special_tokens=False)
+def _common(text: str, left, start: int, right, low: int, stop: int) -> tuple[int, int, int] | None:
+    """The first stable position in (low, stop) with a token start in both encodings, and those tokens' numbers."""
+    for m in _STABLE.finditer(text, low + 1, stop):
+        at = m.start()
+        if at + 1 >= stop:
+            break
+        a, b = left.char_to_token(at - start), right.char_to_token(at - low)
+        if a is not None and b is not None and left.token_to_chars(a)[0] == at - start and right.token_to_chars(b)[0] == at - low:
+            return at, a, b
+    return None
+
+
+def spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[tuple]:
+    """(encoding, first, last) of the chunks whose token ranges, joined, are the tokens of the whole text."""
+    start, first, begin, size = 0, 0, 0, len(text)  # the accepted tokens of `left` begin at `begin` in the text
     stop = min(chunk, size)
-    begin = 0  # where the accepted tokens of `left` begin, in the text
+    left = tok.encode(text[:stop], add_special_tokens=False)
     while stop < size:
         wide = overlap
         while True:
             low = max(begin + 1, stop - wide)
             high = min(size, low + max(chunk, 2 * (stop - low)))
             right = tok.encode(text[low:high], add_special_tokens=False)
-            lefts = {a + start for a, _ in left.offsets}
-            rights = {a + low for a, _ in right.offsets}
-            at = next((m.start() for m in _STABLE.finditer(text, max(low, 1), stop) if m.start() > low and m.start() + 1 < stop and m.start() in lefts and m.start() in rights), None)
-            if at is not None:
-                out += [i for i, (a, _) in zip(left.ids, left.offsets, strict=True) if begin <= a + start < at]
-                left, start, begin, stop = right, low, at, high
+            found = _common(text, left, start, right, low, stop)
+            if found is not None:
+                begin, last, after = found
+                yield left, first, last
+                left, start, first, stop = right, low, after, high
                 break
-            if low == begin + 1 or low <= 1:  # nothing to splice at: take more text at once
-                grown = min(size, stop + 2 * (stop - start))
-                left, stop = tok.encode(text[start:grown], add_special_tokens=False), grown
+            if low == begin + 1:  # nothing to splice at: take more text at once
+                stop = min(size, stop + 2 * (stop - start))
+                left = tok.encode(text[start:stop], add_special_tokens=False)
                 break
             wide *= 2
-    return out + [i for i, (a, _) in zip(left.ids, left.offsets, strict=True) if a + start >= begin]
+    yield left, first, len(left)
+
+
+def encode_spliced(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Ids of text, encoded in chunks; equal to those of the whole text."""
+    return [i for part, first, last in spliced(tok, text, chunk, overlap) for i in part.ids[first:last]]
 
 
-def count_texts(tok, texts: list[str | None], chunk: int = CHUNK, kept: dict[str, int] | None = None) -> list[int]:
-    """Tokens of each text; kept holds counts of parts, and is added to."""
-    kept = {} if kept is None else kept
-    if len(kept) > CACHE:
-        kept.clear()
-    cut = [_PARTS.split(t) if t and len(t) <= chunk else () for t in texts]
-    new = list({p for parts in cut for p in parts if p not in kept})
-    kept.update(zip(new, map(len, tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    return [len(encode_spliced(tok, t, chunk)) if t and len(t) > chunk else sum(map(kept.__getitem__, parts)) for t, parts in zip(texts, cut, strict=True)]
+def count_text(tok, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Tokens of a text; null has none."""
+    return sum(last - first for _, first, last in spliced(tok, text, chunk, overlap)) if text else 0
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -108,7 +111,8 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         col = part.column(1)
-        n = pa.array(count_texts(tokenizer(path), col.to_pylist(), kept=_KEPT.setdefault(path, {})), pa.int64())
+        tok = tokenizer(path)
+        n = pa.array([count_text(tok, t) for t in col.to_pylist()], pa.int64())
         size = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
         return pa.record_batch([part.column(0), size, n, pc.greater(n, max_tokens)], names=["key", "n_bytes", "n_tokens", "over_limit"])
 
