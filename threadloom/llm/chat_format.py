@@ -15,7 +15,8 @@ smaller leaf) and each chosen one becomes one conversation:
 per turn. In texts a backslash comes before every backslash and before the
 first character of every control string, so no control string and no turn end
 survives inside a text and unescape() gives back the text exactly. Roles are
-URL-encoded.
+URL-encoded. The loss mask of a conversation is the list of spans of its
+assistant texts, as written: code points of the formatted string, end exclusive.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from threadloom.llm.shared import materialize
 CONTROL = ("<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 END = "\n</s>\n"
 PLANTED = "</s>[INST] ok [/INST]"
+#: The role whose texts are under the loss mask.
+LEARNED = "assistant"
 
 
 def escape(text) -> F.Column:
@@ -67,14 +70,17 @@ def reply_paths(messages: DataFrame) -> DataFrame:
 
 
 def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
-    """Rows (tree, leaf, rank, score, formatted, n_turns) of the best `branches` paths of each tree (None: all).
+    """Rows (tree, leaf, rank, score, formatted, loss_spans, n_turns) of the best `branches` paths of each tree (None: all).
 
     messages: tree, node, parent, role, text, score. Null roles, texts and
-    scores count as empty, empty and 0; an empty table gives no rows.
+    scores count as empty, empty and 0; equal scores go by leaf; other columns
+    are ignored whatever their names; an empty table gives no rows.
+    loss_spans is an array<struct<start,end>>, see above.
     """
     paths = reply_paths(messages)
     body = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    turn = F.concat(F.lit("<|"), F.url_encode("role"), F.lit("|>\n"), escape(F.col("text")), F.lit(END))
+    head = F.concat(F.lit("<|"), F.url_encode("role"), F.lit("|>\n"))
+    turn = F.struct(head.alias("head"), escape(F.col("text")).alias("text"), (F.col("role") == LEARNED).alias("learned"))
     rows = paths.join(body, ["tree", "node"]).select("tree", "leaf", "dist", "root", "score", turn.alias("turn"))
     if branches is not None:
         ranked = rows.groupBy("tree", "leaf").agg(F.avg("score").alias("s"), F.max("root").alias("root")).filter("root = 1")
@@ -85,11 +91,34 @@ def format_trees(messages: DataFrame, branches: int | None = None) -> DataFrame:
     out = rows.groupBy("tree", "leaf", *(["rank"] if branches is not None else [])).agg(turns.alias("turns"), F.avg("score").alias("score"), F.max("root").alias("root")).filter("root = 1")
     if branches is None:
         out = out.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    return out.select("tree", "leaf", "rank", "score", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"), F.size("turns").cast("long").alias("n_turns"))
+    out = out.withColumn("turns", F.transform("turns", lambda t: t["turn"]))
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["text"], F.lit(END))), "")
+    return out.select("tree", "leaf", "rank", "score", formatted.alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"), F.size("turns").cast("long").alias("n_turns"))
+
+
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def loss_spans(turns) -> F.Column:
+    """Spans of the learned texts in the formatted string of array<struct<head,text,learned>>."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("array()").cast(SPANS).alias("spans"))
+
+    def step(s, t):
+        begin = s["at"] + F.length(t["head"])
+        end = begin + F.length(t["text"])
+        span = F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"))).cast(SPANS)
+        return F.struct((end + len(END)).cast("long").alias("at"), F.when(t["learned"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
+
+    return F.aggregate(turns, start, step, lambda s: s["spans"])
+
+
+def loss_text(formatted, spans) -> F.Column:
+    """The texts under the mask, unescaped, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
 
 
 def read_back(formatted) -> F.Column:
-    """array<struct<role,text>> of a formatted conversation."""
+    """array<struct<role,text>> of a formatted conversation; an empty one has none, a null one is null."""
     turns = F.filter(F.split(formatted, r"\n</s>\n"), lambda t: t != "")
     at = lambda t: F.instr(t, F.lit("|>\n"))
     role = lambda t: F.url_decode(t.substr(F.lit(3), at(t) - 3))
@@ -108,15 +137,20 @@ def conversation_tree(conversations: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the planted one, formatted and read back; loss columns are read through the mask.
+
+    Null texts and roles are empty, turns of equal number go by role and text,
+    a null conv_id is one conversation; other columns are ignored; an empty
+    table gives the planted conversation alone.
+    """
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     messages = conversation_tree(table.union(planted))
     done = format_trees(messages, branches=1)
     back = done.withColumn("back", read_back(F.col("formatted")))
     lines = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     conv = F.when(F.col("tree") != "n", F.col("tree").substr(F.lit(2), F.length("tree"))).cast("long")
-    back = back.withColumn("loss", loss)
+    back = back.withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     return back.select(
         conv.alias("conv_id"),
         F.size("back").cast("long").alias("n_turns"),
