@@ -149,11 +149,18 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def duplicates(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """Rows (sha, len, response) of payloads of at least `least` bytes that occur more than once; response is the largest page id."""
+def revisits(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
+    """Rows (page_id, sha, len, response) of the records that revisit another one, each once.
+
+    Of the rows with equal payloads of at least `least` bytes, response is the
+    largest page id. Only ids and digests are moved, never payloads.
+    """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("len")).filter(F.col("len") >= least)
-    return rows.groupBy("sha", "len").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").select("sha", "len", "response")
+    rows = materialize(rows.distinct(), "digests")
+    # written first, so that both sides of the join are plain exchanges and a hot payload is split
+    last = materialize(rows.groupBy("sha", "len").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n"), "payloads")
+    return rows.join(last, ["sha", "len"]).filter(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")))
 
 
 def write_bundles(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) -> DataFrame:
@@ -162,13 +169,15 @@ def write_bundles(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
     Null html is empty, a null url is left out, a null page id has an empty place
     in the record id. Rows that share the largest page id of their payload are
     all responses. Other columns are ignored; an empty table writes nothing.
-    Pages are moved only if the table of repeated payloads is too large to send
-    to every task, which Spark decides by its size.
+    Pages are moved only if the table of revisits is too large to send to every
+    task, which Spark decides by its size; then they are dealt by page id and
+    payload together, so copies of one payload are spread.
     """
-    twice = materialize(duplicates(pages, least), "payloads")
+    known = materialize(revisits(pages, least), "revisits")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("len"))
-    rows = rows.join(twice, ["sha", "len"], "left").select("page_id", "url", "html", F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("response"))
+    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    rows = rows.withColumn("page", page).join(known.select(page.alias("page"), "sha", "len", "response"), ["page", "sha", "len"], "left").select("page_id", "url", "html", "response")
 
     def run(batches):
         files, root = _filesystem(folder)
@@ -202,7 +211,9 @@ def write_bundles(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
 def read_bundles(bundles: DataFrame, folder: str) -> DataFrame:
     """Rows of all records of the listed bundles, with digests of verified payloads.
 
-    A response whose payload does not match its digest raises.
+    A response whose payload does not match its digest raises. Payloads may be
+    empty or longer than a frame; repeated records are repeated rows; bundles
+    without records and an empty list give no rows; other columns are ignored.
     """
 
     def run(batches):
