@@ -52,3 +52,16 @@ def test_empty_and_rows(spark):
 def test_only_empty_texts(spark):
     _, got = mixed(spark, [(1, None, "a"), (2, "", None)])
     assert [r.taken for r in got] == [0, 0]
+
+
+def test_long_texts_hot_keys_and_clashing_columns(spark):
+    rows = [(None, f"w{i} " * (1 + i % 3), "a") for i in range(300)] + [(1, "long " * 300_000, "b"), (2, None, "b"), (None, None, "a")]
+    columns = "doc_id long, text string, source string, row long, times string, kept string, key int, size int, body int, copies int, taken int, `from` int"
+    df = spark.createDataFrame([(*r, 7, "t", "k", 1, 2, 3, 4, 5, 6) for r in rows], columns)
+    got = M.mix(df).collect()
+    assert len(got) == len(rows) and max(r.size for r in got) == 300_000
+    again = M.mix_rows(df)
+    assert again.columns == df.columns
+    total = sum(r.taken for r in got)
+    assert again.selectExpr(f"sum(size(split(trim(text), ' ')))").first()[0] == total > 0
+    assert {tuple(r)[3:] for r in again.collect()} == {(7, "t", "k", 1, 2, 3, 4, 5, 6)}

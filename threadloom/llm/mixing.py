@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing, native.
 
-Each source's documents queue in an order shuffled by a hash of their key. A
+Each source's documents queue in an order shuffled by a hash of their key and text. A
 document's virtual finish time is the cumulative words of its source through
 it, divided by the source's target; a second copy of the source queues behind
 the first. All entries are served in order of finish time until the total
@@ -10,7 +10,8 @@ every moment.
 No queue is ever gathered: a source is cut into hash ranges, an exclusive prefix
 sum over the (few) ranges gives each range its offset, and a window inside a
 range gives each document its place, so a source with most of the rows is
-spread over all tasks. The global order is cut the same way: finish times are
+spread over all tasks; so are rows with one key, by their texts. Documents
+without words wait in no queue. The global order is cut the same way: finish times are
 dealt into ranges, a prefix sum over ranges finds the one that holds the
 cut-off, and only that range is sorted.
 """
@@ -38,6 +39,10 @@ def word_count(text) -> F.Column:
     return F.length(F.translate(marked, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
+def body_hash(text) -> F.Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, cap: int = CAP) -> DataFrame:
     """Rows (source, source_size, rank, target) from rows (source, source_size).
 
@@ -60,7 +65,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, cap: int
 
 
 def schedule(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: Fraction = SHARE, cap: int = CAP) -> DataFrame:
-    """Add source_size, target, copies and taken to rows (key, source, size, ...).
+    """Add source_size, target, copies and taken to rows (key, source, size, body, ...), where body tells texts apart.
 
     rows must be a stored table; all its columns are kept. Null sources are one
     source, listed last; null keys hash like the empty text; rows that are equal
@@ -73,8 +78,9 @@ def schedule(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: Fractio
     ranges = max(1, min(MAX_RANGES, -(-n // RANGE_ROWS)))
     per_source = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
     same = F.col("source").eqNullSafe(F.col("of"))
-    h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("key").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.withColumn("h", h)
+    h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("body")).cast("binary"))
+    # rows without words are never taken; there may be very many with one key and text
+    idle, rows = rows.filter("size = 0"), rows.filter("size > 0").withColumn("h", h)
     rows = rows.withColumn("range", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("int"))
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     offsets = sums.select(
@@ -87,6 +93,7 @@ def schedule(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: Fractio
     queued = queued.join(offsets, same & (F.col("range") == F.col("at"))).withColumn("cum", F.col("cum") + F.col("offset")).drop("of", "at", "offset")
     queued = queued.join(per_source.withColumnRenamed("source", "of"), same).drop("of")
     queued = materialize(queued, "queued")
+    idle = idle.join(per_source.withColumnRenamed("source", "of"), same).drop("of", "rank").withColumns({"copies": F.lit(0), "taken": F.lit(0).cast("long")})
 
     def entry(copy: int) -> F.Column:
         finish = (F.col("cum") + copy * F.col("source_size")) / F.col("target")
@@ -94,7 +101,7 @@ def schedule(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: Fractio
 
     slot = lambda finish: F.least(F.floor(finish * ranges), F.lit(2 * ranges)).cast("long")
     # Served: words through an entry, in order of finish time, within the budget.
-    entries = queued.filter(F.col("size") > 0).select(F.explode(F.array(*[entry(c) for c in range(cap)])).alias("e")).withColumn("slot", slot(F.col("e.finish")))
+    entries = queued.select(F.explode(F.array(*[entry(c) for c in range(cap)])).alias("e")).withColumn("slot", slot(F.col("e.finish")))
     slots = entries.groupBy("slot").agg(F.sum("e.size").alias("words"))
     slots = slots.withColumn("through", F.sum("words").over(Window.orderBy("slot")))
     within = F.col("through") * share.denominator <= F.lit(total * share.numerator)
@@ -112,24 +119,32 @@ def schedule(rows: DataFrame, seed: str = "mix", weights=WEIGHTS, share: Fractio
                 types = dict(rows.dtypes)
                 cut = F.struct(F.lit(last["finish"]), F.lit(last["rank"]), F.lit(last["copy"]), F.lit(last["h"]), F.lit(last["key"]).cast(types["key"]), F.lit(last["size"]).cast("long"))
                 accept[c] = accept[c] | ((at == first["slot"]) & (entry(c) <= cut))
-    copies = sum((F.when((F.col("size") > 0) & a, 1).otherwise(0) for a in accept), F.lit(0))
+    copies = sum((F.when(a, 1).otherwise(0) for a in accept), F.lit(0))
     out = queued.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.drop("h", "range", "cum", "rank")
+    return out.drop("h", "range", "cum", "rank").unionByName(idle)
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """Rows (key, size, source_size, target, taken) of every row of df; see schedule()."""
-    rows = materialize(df.select(df[key].alias("key"), df[source].alias("source"), word_count(df[text]).alias("size")), "sized")
+    """Rows (key, size, source_size, target, taken) of every row of df.
+
+    Null and empty texts have size 0 and are never taken; nulls, repeated rows
+    and empty tables as in schedule(); other columns are ignored whatever their names.
+    """
+    rows = materialize(df.select(df[key].alias("key"), df[source].alias("source"), word_count(df[text]).alias("size"), body_hash(df[text]).alias("body")), "sized")
     return schedule(rows, **options).select(F.col("key").alias(key), "size", "source_size", "target", "taken")
 
 
 def mix_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of df that the mix takes, each as often as it is taken; columns as df's."""
-    stored = materialize(df.select("*", F.monotonically_increasing_id().alias("__row")), "numbered")
-    rows = materialize(stored.select("__row", F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sized")
-    picked = schedule(rows, **options).filter("copies > 0").select("__row", "copies")
-    again = stored.join(picked, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return again.select(*[stored[c] for c in df.columns])
+    """The rows of df that the mix takes, each as often as it is taken; columns as df's, whatever their names.
+
+    Null and empty texts are taken never; null keys and sources count as in
+    schedule(); an empty table gives no rows.
+    """
+    stored = materialize(df.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("kept")), "numbered")
+    body = F.col("kept")[text]
+    rows = stored.select("row", F.col("kept")[key].alias("key"), F.col("kept")[source].alias("source"), word_count(body).alias("size"), body_hash(body).alias("body"))
+    picked = schedule(materialize(rows, "sized"), **options).filter("copies > 0").select("row", F.sequence(F.lit(1), F.col("copies")).alias("times"))
+    return stored.join(picked, "row").select("kept", F.explode("times")).select(*[F.col("kept")[c].alias(c) for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +156,7 @@ QUERY = ("op1_mix_sources", query)
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rnk FROM s),
