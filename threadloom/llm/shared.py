@@ -28,8 +28,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that nothing needs any more, and let Spark drop shuffle files that nothing refers to.
+def discard(*tables: DataFrame, sweep: bool = True) -> None:
+    """Delete tables that nothing needs any more; with sweep, let Spark drop shuffle files that nothing refers to.
 
     Spark finds the latter when the driver collects garbage, which a driver with
     little to do puts off while disks fill.
@@ -38,8 +38,9 @@ def discard(*tables: DataFrame) -> None:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    SparkSession.getActiveSession()._jvm.System.gc()
+    if sweep:
+        gc.collect()
+        SparkSession.getActiveSession()._jvm.System.gc()
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -98,11 +99,12 @@ def map_text(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, root), root the least node.
 
-    Large-star and small-star rounds: each takes minima by partial aggregation
-    and joins them back, so a node with very many neighbours is never gathered
-    in one task. Every round is written to the shared folder. Raises if
+    Large-star and small-star rounds. Each takes minima by partial aggregation,
+    writes them, and joins them back to the edges; as both sides of that join
+    are plain exchanges, adaptive execution splits the edges of a node with very
+    many neighbours over tasks. Every round is written to the shared folder. Raises if
     `rounds` rounds do not settle the forest (a path of n nodes needs about log n).
-    Self-loops and repeated edges are ignored; no edges give no rows.
+    Self-loops, repeated edges and nulls are ignored; no edges give no rows.
     """
     a, b = F.col("a"), F.col("b")
     edges = edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -113,14 +115,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return edges.select(a.alias("node"), b.alias("root"))
     for _ in range(rounds):
         both = edges.union(edges.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter(b > a).join(least, "a").filter(F.col("b") != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        large, old = materialize(large, "large"), edges
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(least, "a").filter(F.col("b") != F.col("m")).select(b.alias("x"), F.col("m").alias("y"))
-        small = down.union(least.select("a", "m")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        edges = materialize(small, "small")
-        discard(large, old)
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = both.filter(b > a).join(least, "a").filter(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "large")
+        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        down = large.join(lower, "a").filter(b != F.col("m")).select(b.alias("x"), F.col("m").alias("y"))
+        small = down.union(lower.select("a", "m")).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        old, edges = edges, materialize(small, "small")
+        discard(large, old, least, lower, sweep=False)
         after = state(edges)
         if after == before:
             roots = edges.select(a.alias("node"), b.alias("root"))
