@@ -5,6 +5,7 @@ import pytest
 
 from threadloom.llm import embedding_dedup as E
 from threadloom.llm import ngram_join as J
+from threadloom.llm.shared import materialize
 
 
 def word_sets(texts, n):
@@ -95,9 +96,12 @@ def test_copies_of_one_text(spark):
     assert all(got[i] == (0 if i % 2 == 0 else i) for i in got)
 
 
-def test_vectors_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(E, "CELL_ROWS", 40)
-    monkeypatch.setattr(E, "BLOCK", 16)
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 16}, {"BLOCK": 16, "CELLS": 4, "CELL_ROWS": 8, "MOVE": 1, "SAVES": -9.0, "DEALT": 30, "LEVELS": 3}])
+def test_vectors_equal_brute_force(spark, monkeypatch, limits):
+    fits = []
+    monkeypatch.setattr(E, "materialize", lambda df, name: (fits.append(name), materialize(df, name))[1])
+    for name, value in limits.items():
+        monkeypatch.setattr(E, name, value)
     rng = np.random.default_rng(3)
     base, rows = rng.normal(size=(60, 16)), []
     for i in range(500):
@@ -114,4 +118,5 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     want = [(r[0], int(links[i].sum()), least[i], r[0] == least[i]) for i, r in enumerate(rows)] + [(r[0], 0, r[0], True) for r in odd]
     assert links.sum() > 500
     assert sorted(map(tuple, E.deduplicate(df).collect())) == sorted(want)
+    assert fits.count("cells") == limits.get("LEVELS", 1)
     assert E.deduplicate(df.limit(0)).count() == 0

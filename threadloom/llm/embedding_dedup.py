@@ -1,34 +1,50 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products inside them.
 
 Only vectors with the same non-null label and length are compared. Equal vectors
-are one vector with a count. Cells come from spherical k-means on a bounded
-sample (SAMPLE vectors of the commonest length); vectors of other lengths are all in one cell.
+are one vector with a count. Each (label, length) is a group; a group is split
+into cells by spherical k-means, fitted on at most SAMPLE of its vectors, and
+cells that are still large are split again in the same way, level by level, as
+long as the sample says that it saves work. So the number of cells has no limit,
+and no task holds more than one group's centroids (CELLS at most).
 
 No link is lost at cell borders. With unit vectors x (nearest centroid c) and y
 (nearest c') at cosine >= t, their distance is at most r = sqrt(2 - 2t). Along
 the unit normal between c and c' they lie on opposite sides of the border, so
 one of them is within r / 2 of it. Every vector therefore also visits each cell
-whose border to its own is that near, and pairs of a cell's members and visitors
-are compared too, each pair in one cell.
-
-A cell's members and visitors are cut into blocks of BLOCK vectors; a task gets
-two blocks, multiplies them, and returns for each vector the number of its links
-and a spanning forest, never the pairs.
+whose border to its own is that near. A pair is compared in one cell only: where
+one of the two is at home, and if that holds in two cells, in the smaller one;
+and so on at every level, for which a vector carries its home and the cells it
+is placed in.
+
+A cell's vectors are cut into blocks of BLOCK; a task gets two blocks,
+multiplies them, and returns for each vector the number of its links and a
+spanning forest, never the pairs. Vectors are moved as the bytes of their
+components and are made unit vectors in double precision where they are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.ngram_join import forest
-from threadloom.llm.shared import components, materialize
+from threadloom.llm.shared import components, map_arrow, materialize
 
 THRESHOLD = 0.93
-SAMPLE, CELL_ROWS, MAX_CELLS, ROUNDS = 20_000, 4096, 1024, 10
+#: Vectors that a k-means is fitted on, and the most cells that it makes (bits of a mask).
+SAMPLE, CELLS, ROUNDS = 2048, 64, 10
+#: Cells with more vectors may be split again; levels of cells at most.
+CELL_ROWS, LEVELS = 4096, 6
+#: Cost of moving one vector once, in comparisons; a further split must save that share of the work.
+MOVE, SAVES = 1000, 0.25
 BLOCK = 1024
+#: Vectors that go to one task when cells are found.
+DEALT = 50_000
+GROUP = ["label", "dim", "path"]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -62,104 +78,217 @@ def margins(scores: np.ndarray, home: np.ndarray, centroids: np.ndarray) -> np.n
     return (own[:, None] - scores) / apart[home]
 
 
-def _fit(distinct: DataFrame, rows: int, dim: int) -> np.ndarray:
-    cells = max(1, min(MAX_CELLS, rows // CELL_ROWS))
-    if cells == 1:
-        return np.zeros((1, dim))
-    sample = distinct.filter(F.size("vector") == dim).orderBy(F.xxhash64("vector"), "uid").limit(SAMPLE).select("vector").toArrow()
-    return spherical_kmeans(unit(np.array(sample.column("vector").to_pylist(), np.float64)), cells)
+def half_reach(threshold: float) -> float:
+    return float(np.sqrt(2 - 2 * threshold) / 2 + 1e-9)
+
+
+def place(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each unit vector, and whether it is placed in each cell."""
+    scores = x @ centroids.T
+    home = scores.argmax(1)
+    return home, margins(scores, home, centroids) <= half_reach(threshold)
 
 
-def _cells(distinct: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
-    """Rows (label, dim, cell, visitor, home, uid, copies, vector) for each vector's cell and those it visits."""
-    reach = np.sqrt(2 - 2 * threshold) / 2 + 1e-9
+def fit(sample: np.ndarray, rows: int, threshold: float, always: bool, most: int = CELLS, move: float = MOVE, saves: float = SAVES) -> np.ndarray | None:
+    """Centroids with the least estimated work for a group of so many rows; None if a split saves too little.
+
+    A row costs `move` for each block pair it goes to, and its comparisons; how
+    many cells it is placed in is measured on the sample.
+    """
+    costs = []
+    k = 2
+    while k <= min(most, len(sample)):
+        centroids = spherical_kmeans(sample, k)
+        placed = place(sample, centroids, threshold)[1].sum(1).mean() if len(centroids) > 1 else 1.0
+        inside = rows * placed / len(centroids)
+        costs.append((placed * move * (1 + inside / BLOCK) + inside, k, centroids))
+        k *= 2
+    if not costs:
+        return None
+    cost, _, best = min(costs, key=lambda c: c[:2])
+    whole = move * (1 + rows / BLOCK) + rows / 2
+    return best if always or (len(best) > 1 and cost < (1 - saves) * whole) else None
+
+
+def _vectors(column: pa.Array, width: np.dtype) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(column.to_pylist()), width).reshape(len(column), -1))
+
+
+def _groups(batches, n: int) -> Iterator[tuple]:
+    """(key, table) of consecutive rows that agree in the first n columns, from sorted batches."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True))
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[start]:
+                if held and keys[start] != key:
+                    yield key, pa.Table.from_batches(held)
+                    held = []
+                key = keys[start]
+                held.append(batch.slice(start, i - start))
+                start = i
+    if held:
+        yield key, pa.Table.from_batches(held)
+
+
+def _fitted(rows: DataFrame, sizes: DataFrame, width: np.dtype, threshold: float, always: bool) -> DataFrame:
+    """Rows (label, dim, path, n, centroids) of the groups that are split; sizes has their rows n."""
+    share = F.xxhash64("vec") / float(1 << 64) + 0.5
+    few = rows.join(sizes, GROUP).filter(share < 2.0 * SAMPLE / F.col("n")).select(*GROUP, "n", share.alias("share"), "vec")
+    few = few.repartition(*GROUP).sortWithinPartitions(*GROUP, "share")
+    kind = few.schema["label"].dataType.simpleString()
+    options = CELLS, MOVE, SAVES
+
+    def run(batches):
+        for (label, dim, path, n), part in _groups(batches, 4):
+            found = fit(_vectors(part.column("vec").slice(0, SAMPLE), width), n, threshold, always, *options)
+            if found is not None:
+                yield pa.record_batch([pa.array([label], part.schema.field(0).type), pa.array([dim], pa.int32()), pa.array([path], pa.string()), pa.array([n], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=[*GROUP, "n", "centroids"])
+
+    return materialize(map_arrow(few, run, f"label {kind}, dim int, path string, n long, centroids binary"), "centroids")
+
+
+def _placed(rows: DataFrame, centroids: DataFrame, width: np.dtype, threshold: float) -> DataFrame:
+    """The rows of the groups that are split, once for each cell they are placed in, with longer path, homes and masks.
+
+    Centroids are sent ahead of their group's rows; a large group is dealt to several tasks.
+    """
+    parts = F.greatest(F.ceil(F.col("n") / DEALT), F.lit(1)).cast("int")
+    own = rows.join(centroids.select(*GROUP, parts.alias("parts")), GROUP).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    ahead = centroids.select(*GROUP, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), none("long").alias("uid"), none("long").alias("copies"), F.col("centroids").alias("vec"), none("array<int>").alias("homes"), none("array<long>").alias("masks"))
+    both = own.select(*ahead.columns).union(ahead)
+    both = both.repartition(*GROUP, "part").sortWithinPartitions(*GROUP, "part", F.col("uid").asc_nulls_first())
+    kind = rows.schema["label"].dataType.simpleString()
 
     def run(batches):
+        key = centres = None
         for batch in batches:
-            uid, label, copies, vectors = (batch.column(i) for i in range(4))
-            begins = vectors.offsets.to_numpy()
-            flat = vectors.values.to_numpy(zero_copy_only=False)
-            sizes = np.diff(begins)
-            # unit vectors as bytes: 8 for a component, read without a Python object for each
-            packed = pa.array([(v / np.linalg.norm(v)).tobytes() for v in (flat[i:j] for i, j in zip(begins[:-1], begins[1:], strict=True))], pa.binary())
-            at, cell, home_of = [], [], []
-            for dim in np.unique(sizes).tolist():
-                rows = np.flatnonzero(sizes == dim)
-                if dim != centroids.shape[1] or len(centroids) == 1:
-                    at.append(rows)
-                    cell.append(np.zeros(len(rows), int))
-                    home_of.append(np.zeros(len(rows), int))
-                    continue
-                x = unit(flat[begins[rows][:, None] + np.arange(dim)])
-                scores = x @ centroids.T
-                home = scores.argmax(1)
-                r, c = np.nonzero(margins(scores, home, centroids) <= reach)
-                at.append(rows[r])
-                cell.append(c)
-                home_of.append(home[r])
-            if not at:
+            if not batch.num_rows:
                 continue
-            at, cell, home_of = (np.concatenate(x) for x in (at, cell, home_of))
-            take = pa.array(at)
-            yield pa.record_batch(
-                [label.take(take), pa.array(sizes[at].astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(cell != home_of), pa.array(home_of.astype(np.int32)), uid.take(take), copies.take(take), packed.take(take)],
-                names=["label", "dim", "cell", "visitor", "home", "uid", "copies", "vector"],
-            )
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            uid = batch.column(4)
+            start = 0
+            while start < len(keys):
+                if keys[start] != key:
+                    key, path = keys[start], keys[start][2]
+                    centres = np.frombuffer(batch.column(6)[start].as_py(), np.float64).reshape(-1, key[1])
+                    start += 1
+                    continue
+                stop = start
+                while stop < len(keys) and keys[stop] == key and stop - start < 4 * BLOCK:
+                    stop += 1
+                part = batch.slice(start, stop - start)
+                home, cells = place(_vectors(part.column(6), width), centres, threshold)
+                mask = np.bitwise_or.reduce(np.where(cells, np.uint64(1) << np.arange(len(centres), dtype=np.uint64), np.uint64(0)), axis=1).view(np.int64)
+                r, c = np.nonzero(cells)
+                take = pa.array(r)
+                homes = [[*h, x] for h, x in zip(part.column(7).to_pylist(), home.tolist(), strict=True)]
+                masks = [[*m, x] for m, x in zip(part.column(8).to_pylist(), mask.tolist(), strict=True)]
+                yield pa.record_batch(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array([f"{path}{x}." for x in c.tolist()], pa.string()), uid.slice(start, stop - start).take(take), part.column(5).take(take), part.column(6).take(take), pa.array([homes[i] for i in r.tolist()], pa.list_(pa.int32())), pa.array([masks[i] for i in r.tolist()], pa.list_(pa.int64()))],
+                    names=[*GROUP, "uid", "copies", "vec", "homes", "masks"],
+                )
+                start = stop
+
+    return map_arrow(both, run, f"label {kind}, dim int, path string, uid long, copies long, vec binary, homes array<int>, masks array<long>")
+
+
+def cells(distinct: DataFrame, width: np.dtype, threshold: float) -> DataFrame:
+    """Rows (label, dim, path, uid, copies, vec, homes, masks): every vector in its leaf cell and those that it visits."""
+    empty = F.expr("array()")
+    rows = distinct.select("label", "dim", F.lit("").alias("path"), "uid", "copies", "vec", empty.cast("array<int>").alias("homes"), empty.cast("array<long>").alias("masks"))
+    done = None
+    for level in range(LEVELS):
+        sizes = rows.groupBy(*GROUP).agg(F.count("*").alias("n")).filter(F.col("n") > (1 if level == 0 else CELL_ROWS))
+        centroids = _fitted(rows, sizes, width, threshold, level == 0)
+        rest = rows.join(centroids.select(*GROUP), GROUP, "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        if centroids.isEmpty():
+            break
+        rows = materialize(_placed(rows, centroids, width, threshold), "cells")
+    else:
+        done = done.unionByName(rows)
+    return done
 
-    return distinct.select("uid", "label", "copies", "vector").mapInArrow(run, f"label {distinct.schema['label'].dataType.simpleString()}, dim int, cell int, visitor boolean, home int, uid long, copies long, vector binary")
 
+def counted_once(a: np.ndarray, b: np.ndarray, path: list[int], homes: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether each pair of rows (a, b) of a leaf cell is counted there, see above."""
+    ok = np.ones(len(a), bool)
+    for level, cell in enumerate(path):
+        home, mask = homes[:, level], masks[:, level].view(np.uint64)
+        in_a, in_b = home[a] == cell, home[b] == cell
+        sees = lambda x, y, h=home, m=mask: (m[x] >> h[y].astype(np.uint64) & np.uint64(1)).astype(bool)
+        ok &= in_a | in_b
+        ok &= ~(in_a & ~in_b & sees(a, b) & (home[b] < cell))
+        ok &= ~(in_b & ~in_a & sees(b, a) & (home[a] < cell))
+    return ok
 
-def _compare(placed: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
-    """Rows (uid, links, root): links of a vector found in one task, and its place in that task's forest."""
-    keys = ["label", "dim", "cell"]
-    visitors = F.sum(F.col("visitor").cast("int"))
-    counts = placed.groupBy(*keys).agg(F.greatest(F.ceil((F.count("*") - visitors) / BLOCK), F.lit(1)).cast("int").alias("hb"), F.ceil(visitors / BLOCK).cast("int").alias("vb"))
-    rows = placed.join(counts, keys)
-    slot = F.xxhash64("uid")
-    block = F.when(F.col("visitor"), F.col("hb") + F.pmod(slot, F.greatest("vb", F.lit(1)))).otherwise(F.pmod(slot, F.col("hb"))).cast("int")
-    # members meet all blocks of members and visitors; visitors meet members
-    others = F.when(F.col("visitor"), F.sequence(F.lit(0), F.col("hb") - 1)).otherwise(F.sequence(F.lit(0), F.col("hb") + F.col("vb") - 1))
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(others))
-    rows = rows.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "visitor", "home", "uid", "copies", "vector")
-    rows = rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "block", "uid")
-    reach = np.sqrt(2 - 2 * threshold) / 2 + 1e-9
-    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-18))
 
-    def found(key, held):
-        if len(held) < 2:
-            return [], [], []
-        _, _, cell, i, j = key
-        block, visitor, home, uid, copies, vectors = zip(*held, strict=True)
-        x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
-        block, visitor, home, uid, copies = (np.array(v) for v in (block, visitor, home, uid, copies))
-        links = x @ x.T >= threshold
-        np.fill_diagonal(links, False)
-        if i != j:
+def _compare(leaves: DataFrame, width: np.dtype, threshold: float) -> DataFrame:
+    """Rows (uid, links, root): links of a vector found in one task, and its place in that task's forest."""
+    levels = F.size("homes")
+    path = F.transform(F.filter(F.split("path", r"\."), lambda p: p != ""), lambda p: p.cast("int"))
+    # bit l: at home at level l; two vectors can only be counted where each level has one of them at home
+    at_home = F.aggregate(F.zip_with("homes", path, lambda h, p: (h == p).cast("int")), F.lit(0), lambda s, x: s * 2 + x)
+    rows = leaves.withColumn("at_home", at_home)
+    counts = rows.groupBy(*GROUP, "at_home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    kinds = counts.groupBy(*GROUP).agg(F.collect_list(F.struct("at_home", "blocks")).alias("kinds"))
+    rows = rows.join(kinds, GROUP)
+    code = lambda kind, slot: kind.cast("long") * (1 << 32) + slot
+    own = F.get(F.filter("kinds", lambda k: k["at_home"] == F.col("at_home")), F.lit(0))["blocks"]
+    rows = rows.withColumn("block", code(F.col("at_home"), F.pmod(F.xxhash64("uid"), own)))
+    full = (F.pow(F.lit(2), levels) - 1).cast("int")
+    fits = F.filter("kinds", lambda k: k["at_home"].bitwiseOR(F.col("at_home")) == full)
+    others = F.flatten(F.transform(fits, lambda k: F.transform(F.sequence(F.lit(0), k["blocks"] - 1), lambda slot: code(k["at_home"], slot))))
+    rows = rows.withColumn("other", F.explode(others))
+    keys = [*GROUP, "i", "j"]
+    rows = rows.select(*GROUP, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "uid", "copies", "vec", "homes", "masks")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "block", "uid")
+
+    def found(key, part):
+        x = _vectors(part.column("vec"), width)
+        block, uid, copies = (part.column(c).to_numpy() for c in ("block", "uid", "copies"))
+        links = np.triu(x @ x.T >= threshold, 1)
+        if key[3] != key[4]:
             links &= block[:, None] != block[None, :]
-        if visitor.any():
-            # a pair whose vectors visit each other's cells is counted in the smaller cell only
-            y, v = np.nonzero(links & ~visitor[:, None] & visitor[None, :])
-            margin = ((x[y] * centroids[cell]).sum(1) - (x[y] * centroids[home[v]]).sum(1)) / apart[cell, home[v]]
-            drop = (margin <= reach) & (home[v] < cell)
-            links[y[drop], v[drop]] = links[v[drop], y[drop]] = False
+        a, b = np.nonzero(links)
+        path = [int(p) for p in key[2].split(".") if p]
+        if path and len(a):
+            homes, masks = (np.array(part.column(c).to_pylist(), np.int64) for c in ("homes", "masks"))
+            ok = counted_once(a, b, path, homes, masks)
+            links[a[~ok], b[~ok]] = False
+        links |= links.T
         n = links @ copies
         at = np.flatnonzero(n)
-        return uid[at].tolist(), n[at].tolist(), uid[forest(links)[at]].tolist()
+        return pa.record_batch([pa.array(v, pa.int64()) for v in (uid[at], n[at], uid[forest(links)[at]])], names=["uid", "links", "root"])
+
+    def run(batches):
+        for key, part in _groups(batches, len(keys)):
+            if part.num_rows > 1 and (key[3] == key[4] or part.column("block")[0] != part.column("block")[part.num_rows - 1]):
+                yield found(key, part)
+
+    return map_arrow(rows, run, "uid long, links long, root long")
+
+
+def _packed(rows: DataFrame, width: np.dtype) -> DataFrame:
+    """Rows (key, label, vec) with vectors as bytes."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):
-        key, held = None, []
         for batch in batches:
-            out = [], [], []
-            for label, dim, cell, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (label, dim, cell, i, j) != key:
-                    for o, x in zip(out, found(key, held), strict=True):
-                        o.extend(x)
-                    key, held = (label, dim, cell, i, j), []
-                held.append(rest)
-            yield pa.record_batch([pa.array(o, pa.int64()) for o in out], names=["uid", "links", "root"])
-        yield pa.record_batch([pa.array(o, pa.int64()) for o in found(key, held)], names=["uid", "links", "root"])
+            column = batch.column(2)
+            if isinstance(column, pa.ChunkedArray):
+                column = column.combine_chunks()
+            begins = np.asarray(column.offsets, np.int64)
+            flat = column.values.to_numpy(zero_copy_only=False).astype(width)
+            raw = [None if bad else flat[i:j].tobytes() for bad, i, j in zip(column.is_null().to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["key", "label", "vec"])
 
-    return rows.mapInArrow(run, "uid long, links long, root long")
+    return map_arrow(rows.select("key", "label", "vector"), run, f"key {kinds['key']}, label {kinds['label']}, vec binary")
 
 
 def deduplicate(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -171,29 +300,28 @@ def deduplicate(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
     never smallest; a component of null keys alone has a null id and is kept.
     Other columns are ignored whatever their names; an empty table gives no rows.
     """
-    numbers = F.transform(F.col(vector), lambda v: v.cast("double"))
+    width = np.dtype(np.float32 if df.schema[vector].dataType.elementType.typeName() == "float" else np.float64)
+    numbers = F.transform(df[vector], lambda v: v.cast("double"))
     rows = df.select(df[key].alias("key"), df[label].alias("label"), numbers.alias("vector"))
     # + 0.0 makes negative zeros positive; a zero vector has no largest magnitude above 0
     good = F.col("label").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("vector", F.when(good, F.transform("vector", lambda v: v + F.lit(0.0))))
-    rows = rows.withColumn("uid", F.when(F.col("vector").isNotNull(), F.xxhash64("label", "vector")))
-    stored = materialize(rows, "vectors")
-    valid = stored.filter("uid is not null")
-    distinct = materialize(valid.groupBy("uid", "label", "vector").agg(F.count("*").alias("copies"), F.min("key").alias("least")), "distinct")
-    by_dim = distinct.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if by_dim is None:
-        linked = distinct.select("uid", F.lit(0).cast("long").alias("n"), F.col("least").alias("component_id"))
-    else:
-        centroids = _fit(distinct, by_dim["count"], by_dim["dim"])
-        pairs = materialize(_compare(_cells(distinct, centroids, threshold), centroids, threshold), "links")
-        sums = pairs.groupBy("uid").agg(F.sum("links").alias("links"))
-        roots = components(pairs.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
-        own = distinct.select("uid", "copies", "least").join(sums, "uid", "left").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-        best = own.groupBy("root").agg(F.min("least").alias("component_id"))
-        linked = own.join(best, "root").select("uid", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
-    out = stored.select("key", "uid").join(linked, "uid", "left")
-    component = F.when(F.col("uid").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    # equal vectors are known by 128 bits
+    stored = materialize(_packed(rows, width).withColumns({"h1": F.xxhash64("label", "vec"), "h2": F.xxhash64(F.lit(1), "vec", "label")}), "vectors")
+    valid = stored.filter("vec is not null")
+    dim = (F.octet_length("vec") / width.itemsize).cast("int")
+    distinct = valid.groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("key").alias("least"))
+    distinct = materialize(distinct.withColumns({"dim": dim, "uid": F.monotonically_increasing_id()}), "distinct")
+    pairs = materialize(_compare(cells(distinct, width, threshold), width, threshold), "links")
+    sums = pairs.groupBy("uid").agg(F.sum("links").alias("links"))
+    roots = components(pairs.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
+    own = distinct.select("uid", "h1", "h2", "copies", "least").join(sums, "uid", "left").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    best = own.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = own.join(best, "root").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), "component_id")
+    out = stored.select("key", "h1", "h2", F.col("vec").isNotNull().alias("valid")).join(linked, ["h1", "h2"], "left")
+    component = F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("key"))
+    links = F.when(F.col("valid"), F.coalesce("n", F.lit(0))).otherwise(0).cast("long")
+    return out.select(F.col("key").alias(key), links.alias("n_links"), component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
