@@ -48,6 +48,22 @@ def test_contains_whole_tokens(apply):
     assert apply(X.contains, *[c[:2] for c in cases]) == [c[2] for c in cases]
 
 
+def test_contains_overlapping_and_marked(apply):
+    cases = [("x1 1 1", "1 1", True), ("x1 1", "1 1", False), ("aaa", "aa", False), ("ab\x01 ab", "ab", True), ("a\x01b", "b", True), ("\x01", "x", False), ("-a-", "-a-", True), ("x-a-x", "-a-", True), ("x-a", "-a", True), ("-ax", "-a", False), ("ordord-1", "ord-1", False), ("éord", "ord", False)]
+    word = lambda c: c.isalnum() or c == "_"
+
+    def plain(t, n):
+        at = [i for i in range(len(t) - len(n) + 1) if t.startswith(n, i)]
+        return any(not (word(n[0]) and i and word(t[i - 1])) and not (word(n[-1]) and i + len(n) < len(t) and word(t[i + len(n)])) for i in at)
+
+    assert apply(X.contains, *[c[:2] for c in cases]) == [plain(*c[:2]) for c in cases] == [c[2] for c in cases]
+
+
+def test_case_folding_is_full(apply):
+    some = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000 and chr(c).casefold() != chr(c).lower()] + ["ΣΑΣ", "straße ΟΔΟΣ", "İı", "ŉ", "ﬃ", "K"]
+    assert apply(X.casefold, *some) == [t.casefold() for t in some]
+
+
 def test_canonical(apply):
     assert apply(X.canonical, "  Don’t\n STRAßE ") == ["don't strasse"]
 
@@ -108,11 +124,45 @@ def test_sentences():
     assert U.sentence_around("nothing", correct) is None and U.sentence_around(None, correct) is None
 
 
+def spans(text, *options):
+    """(first, last, kind) of each block."""
+    found = {}
+    for i, b in enumerate(U.blocks(text, *options)):
+        if b is not None:
+            found[b["first"]] = (b["first"], i, b["kind"])
+    return list(found.values())
+
+
 def test_blocks():
-    text = 'x\n{\n "a": 1\n}\n```json\n{"b": 2}\n```\n{"c": NaN}\n{"d": 1, "d": 2}\n[1, 2] tail\n~~~\nopen'
-    got = [(b["first"], b["last"], b["kind"]) for b in U.block_spans(text)]
-    assert got == [(1, 3, "json"), (4, 6, "code"), (10, 11, "code")]
-    assert U.block_spans("```sql\nx\n```", {"sql": "sql"})[0]["kind"] == "sql"
+    text = 'x\n{\n "a": 1\n}\n```js\nlet b = 2\n```\n{"c": NaN}\n{"d": 1, "d": 2}\n[1, 2] tail\n~~~\nopen'
+    assert spans(text) == [(1, 3, "json"), (4, 6, "code"), (10, 11, "code")]
+    assert [b and b["document"] for b in U.blocks(text)][:4] == [None, '{\n "a": 1\n}', None, None]
+    assert spans("```sql\nx\n```", {"sql": "sql"}) == [(0, 2, "sql")]
+
+
+def test_bodies_of_fences_give_the_kind():
+    kinds = [(U._python(P.TRACEBACK), "error"), (U._python(P.LEVEL_LOG), "log"), (U._python(P.TABLE_ROW), "table")]
+    assert spans("```\nplain\nINFO x\n| a |\n```\n", None, kinds) == [(0, 4, "log")]
+    assert spans('```json\n{"b": 2}\n```\n', None, kinds) == [(0, 2, "json")]
+    assert spans("~~~\nx = 1\n~~~", None, kinds) == [(0, 2, "code")]
+    assert spans("```sql\nERROR x\n```", {"sql": "sql"}, kinds) == [(0, 2, "sql")]
+    assert [b["body"] for b in U.blocks("```\nINFO x\n```")] == [False, True, False]
+    assert all(b["document"] is None for b in U.blocks('```json\n{"b": 2}\n```'))
+
+
+def test_blocks_are_linear_in_the_lines():
+    start = time.time()
+    text = "".join(f'{{"a": {i}}}\n' for i in range(100_000)) + "[\n" + ",\n".join(map(str, range(100_000))) + "\n]"
+    assert len(spans(text)) == 100_001
+    assert time.time() - start < 20
+
+
+def test_touched_lines():
+    number = [re.compile(r"\d+\n?\d*")]
+    assert U.touched_lines("a\n1\n2\nb\n3", number) == [1, 2, 4] and U.touched_lines(None, number) == [] and U.touched_lines("1", number) == [0]
+    start = time.time()
+    assert len(U.touched_lines("1 x\n" * 100_000, number)) == 100_000
+    assert time.time() - start < 10
 
 
 def test_json_compaction_loses_nothing_but_what_it_says():
@@ -125,4 +175,8 @@ def test_json_compaction_loses_nothing_but_what_it_says():
     assert squeezed == [{"__repeated__": 5, "value": {"k": "v" * 20}}, 1]
     sampled = json.loads(U.compact_json(json.dumps([f"item-{i}" for i in range(40)]), "sample"))
     assert sampled[:5] + sampled[6:] == [f"item-{i}" for i in (*range(5), *range(35, 40))] and sampled[5] == {"__omitted__": 30}
+    ab, ba = '{"a":1,"b":[1.0,"é"]}', '{"b": [1.0, "é"], "a": 1}'
+    assert U.compact_json(f"[{ba}, {ab}, {ab}, 1, {ab}]", "collapse") == '[{"__repeated__":3,"value":{"b":[1.0,"é"],"a":1}},1,' + ab + "]"
+    assert U.compact_json(f"[{ab}, 1, {ab}, 2, {ab}, {ab}]", "sample") == '[{"__repeated__":4,"value":' + ab + "},1,2]"
+    assert U.compact_json("[true, 1, 1.0, [], {}, null]", "sample") == "[true,1,1.0,[],{},null]"
     assert U.compact_json("not json", "minify") is None and U.compact_json(None, "minify") is None

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,39 @@ def test_routes_and_fences(spark):
     assert [u.kind for u in units] == ["text", "sql", "ticket", "sql"]
 
 
+def test_the_highest_severity_of_all_matches_counts(spark):
+    patterns = (U.LinePattern(r"^one|^two", "log", 5, severity="INFO"), U.LinePattern(r"^two", "error", 1, severity="ERROR"), U.LinePattern(r"^(?<level>WARN|FATAL)", "log", 3, level_group=1))
+    (units,) = found(spark, "one\ntwo\n", patterns=patterns)
+    assert [(u.kind, list(u.line_severities)) for u in units] == [("log", ["INFO"]), ("log", ["ERROR"])]
+    (units,) = found(spark, "WARN x\nFATAL y\n", patterns=patterns)
+    assert [list(u.line_severities) for u in units] == [["WARNING", "CRITICAL"]]
+
+
+def test_fenced_logs_are_logs(spark):
+    text = "See:\n```\nINFO a\nERROR b\n```\n```python\nx = 1\n```\n"
+    (units,) = found(spark, text)
+    assert [u.kind for u in units] == ["text", "log", "code"]
+    assert list(units[1].line_severities) == [None, "INFO", "ERROR", None] and units[1].has_error
+
+
+def test_a_detector_finds_code_and_may_fail(spark):
+    def detect(text):
+        if "boom" in text:
+            raise RuntimeError(text)
+        return "python" if "def " in text else None
+
+    got = found(spark, "def f():\n    return 1\n", "plain words", "boom def ", detector=detect)
+    assert [[u.kind for u in units] for units in got] == [["code"], ["text"], ["text"]]
+
+
+def test_long_documents_take_linear_room(spark):
+    start = time.time()
+    text = json.dumps([{"key": i, "value": "x" * 20} for i in range(20_000)], indent=1)
+    (units,) = found(spark, "Result:\n" + text + "\nDone.")
+    assert [u.kind for u in units] == ["text", "json", "text"] and units[1].document == text
+    assert time.time() - start < 60
+
+
 def test_units_tile_random_messages(spark):
     rng = random.Random(11)
     parts = ["prose", "2024-01-01T00:00:00 INFO x", "ERROR boom", '{"a": [1, 2]}', "```", "| a |", "", "  indented", "ValueError: x", "[", '{"a":', "}", "\t"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,10 +31,10 @@ def mentions_failure(text: Column) -> Column:
 
 
 def mask_volatile(text: Column) -> Column:
-    """Timestamps become <ts>, and hexadecimal runs that have a digit <id>.
+    """Timestamps become <ts>; of hexadecimal runs those with a digit become <id>, others stay.
 
-    Runs are cut out by one linear pass and tested one by one; asking for the
-    digit by lookahead would rescan the rest of a long run from every hyphen.
+    The text is taken apart into runs and what lies between them, the runs are
+    replaced where need be, and the parts are put together again.
     """
     stamped = F.regexp_replace(text, P.TIMESTAMP, "<ts>")
     runs = F.transform(all_matches(stamped, P.HEX_RUN), lambda run: F.when(run.rlike("[0-9]"), F.lit("<id>")).otherwise(run))
@@ -66,9 +64,17 @@ def normalize_apostrophes(text: Column) -> Column:
     return F.translate(text, "\u2018\u2019", "''")
 
 
+# Characters that lower(upper(c)) folds otherwise than full case folding, by rule: final sigma, dotless i
+# (through a private character, as upper case would lose it), and Cherokee, whose folded form is upper case.
+_DOTLESS, _PRIVATE = "\u0131", "\ue131"
+_FOLD_FROM = "\u03c2" + _PRIVATE + "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
+_FOLD_TO = "\u03c3" + _DOTLESS + "".join(map(chr, [*range(0x13A0, 0x13F0), *range(0x13F0, 0x13F6)]))
+
+
 def casefold(text: Column) -> Column:
-    """Lower case, with sharp s as ss; other full foldings are not applied."""
-    return F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss"))
+    """Full case folding; ASCII texts are only lowered."""
+    upper = F.replace(F.upper(F.translate(text, _DOTLESS, _PRIVATE)), F.lit("\u1e9e"), F.lit("SS"))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(F.lower(upper), _FOLD_FROM, _FOLD_TO))
 
 
 def canonical(text: Column) -> Column:
@@ -76,12 +82,25 @@ def canonical(text: Column) -> Column:
     return casefold(collapse_space(normalize_apostrophes(text)))
 
 
+_SPOT = "\x01"
+
+
 def contains(text: Column, needle: Column) -> Column:
-    """Whether needle occurs in text, not glued to word characters at an end that is one itself."""
+    """Whether needle occurs in text, not glued to word characters at an end that is one itself.
+
+    Occurrences are marked by a plain replacement and their neighbours tested by
+    fixed expressions. Only where that fails although the needle occurs, as
+    occurrences may overlap, is an expression built for the needle.
+    """
+    starts, ends = needle.rlike(r"(?U)\A\w"), needle.rlike(r"(?U)\w\z")
+    spots = F.replace(text, needle, F.lit(_SPOT))
+    free = lambda before, after: F.regexp_like(spots, F.lit("(?dU)" + before + _SPOT + after))
+    left, right = rf"(?<![\w{_SPOT}])", rf"(?![\w{_SPOT}])"
+    marked = F.when(starts & ends, free(left, right)).when(starts, free(left, "")).when(ends, free("", right)).otherwise(F.lit(True))
     quoted = F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    before = F.when(needle.rlike(r"(?U)\A\w"), F.lit(r"(?<!\w)")).otherwise("")
-    after = F.when(needle.rlike(r"(?U)\w\z"), F.lit(r"(?!\w)")).otherwise("")
-    return (needle == "") | F.regexp_like(text, F.concat(F.lit("(?dUs)"), before, quoted, after))
+    own = F.concat(F.lit("(?dUs)"), F.when(starts, r"(?<!\w)").otherwise(""), quoted, F.when(ends, r"(?!\w)").otherwise(""))
+    clean = ~F.contains(text, F.lit(_SPOT))
+    return (needle == "") | (F.contains(text, needle) & ((clean & marked) | F.regexp_like(text, own)))
 
 
 def is_stated(required: Column, text: Column) -> Column:
@@ -94,9 +113,6 @@ def identifiers(text: Column, expressions=P.IDENTIFIERS) -> Column:
     return F.array_distinct(F.concat(*[all_matches(text, p) for p in expressions]))
 
 
-def has_identifier(text: Column, expressions=P.IDENTIFIERS) -> Column:
-    return reduce(lambda a, b: a | b, [matches(text, p) for p in expressions])
-
 
 def severity(level: Column) -> Column:
     """Canonical severity of a level name, or null."""

@@ -8,7 +8,7 @@ them and a long thread is spread over tasks by message.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from threadloom.errors import ConfigurationError
 from threadloom.functions import patterns as P
 from threadloom.functions import text as X
-from threadloom.functions.python_udfs import BLOCKS, block_spans_udf
+from threadloom.functions.python_udfs import BLOCKS, blocks_udf, detector_udf
+from threadloom.sources.storage import settle
 
 WARNING_RANK, ERROR_RANK = P.SEVERITY_RANKS["WARNING"], P.SEVERITY_RANKS["ERROR"]
 
@@ -48,12 +49,15 @@ class ParsingOptions:
     """How text is read: line patterns, kinds of routed lines, kinds of fenced blocks by tag, identifier expressions.
 
     `routes` are (expression, kind) pairs that come before everything else.
+    `detector` names the language of a text or gives None; prose units for which
+    it names one are code. One that raises leaves them prose.
     """
 
     patterns: Sequence[LinePattern] = DEFAULT_PATTERNS
     routes: Sequence[tuple[str, str]] = ()
     fence_kinds: Mapping[str, str] = field(default_factory=dict)
     identifiers: Sequence[str] = P.IDENTIFIERS
+    detector: Callable[[str], str | None] | None = None
 
     def __post_init__(self):
         if isinstance(self.patterns, str) or not all(isinstance(p, LinePattern) for p in self.patterns):
@@ -62,49 +66,68 @@ class ParsingOptions:
             raise ConfigurationError("routes must be (expression, kind) pairs")
         if not self.identifiers or not all(isinstance(x, str) and x for x in self.identifiers):
             raise ConfigurationError("identifiers must be expressions")
+        if self.detector is not None and not callable(self.detector):
+            raise ConfigurationError("detector must be callable")
 
 
 DEFAULT_OPTIONS = ParsingOptions()
 
 
-def _kind_and_severity(line: Column, options: ParsingOptions) -> tuple[Column, Column]:
-    kind, level = F.lit("text"), F.lit(None).cast("string")
-    for p in sorted(options.patterns, key=lambda p: p.priority):  # applied from the least priority up
-        hit = X.matches(line, p.expression)
-        said = F.lit(p.severity) if p.severity else X.severity(F.regexp_extract(line, p.expression, p.level_group)) if p.level_group else F.lit(None).cast("string")
-        # among equal priorities the first listed wins, so it must be applied last
-        kind, level = F.when(hit, F.lit(p.kind)).otherwise(kind), F.when(hit, said).otherwise(level)
-    for expression, name in reversed(options.routes):
-        hit = X.matches(line, expression)
-        kind, level = F.when(hit, F.lit(name)).otherwise(kind), F.when(hit, F.lit(None)).otherwise(level)
-    return kind, level
+def _by_priority(options: ParsingOptions) -> list[LinePattern]:
+    return sorted(options.patterns, key=lambda p: -p.priority)
+
+
+def _hits(line: Column, options: ParsingOptions) -> dict[str, Column]:
+    """One column for each expression, which is run once: the level it captured (empty: none), null without a match."""
+    out = {}
+    for i, p in enumerate(_by_priority(options)):
+        captured = F.get(X.all_matches(line, p.expression, p.level_group), F.lit(0)) if p.level_group else None
+        out[f"__p{i}"] = F.when(X.matches(line, p.expression), F.lit(p.severity or "")) if captured is None else captured
+    return out | {f"__r{i}": X.matches(line, e) for i, (e, _) in enumerate(options.routes)}
+
+
+def _kind_and_rank(options: ParsingOptions) -> tuple[Column, Column]:
+    """Kind of a line by its first match in order of priority, and the highest severity of all its matches."""
+    kind = F.lit("text")
+    for i, p in reversed(list(enumerate(_by_priority(options)))):
+        kind = F.when(F.col(f"__p{i}").isNotNull(), F.lit(p.kind)).otherwise(kind)
+    ranks = [X.severity_rank(X.severity(F.col(f"__p{i}"))) for i in range(len(options.patterns))]
+    rank = F.greatest(F.lit(0), F.lit(0), *ranks)
+    for i, (_, name) in reversed(list(enumerate(options.routes))):
+        kind, rank = F.when(F.col(f"__r{i}"), F.lit(name)).otherwise(kind), F.when(F.col(f"__r{i}"), F.lit(0)).otherwise(rank)
+    return kind, rank
 
 
 def classified_lines(messages: DataFrame, options: ParsingOptions = DEFAULT_OPTIONS) -> DataFrame:
-    """Rows (thread_id, msg_idx, line_no, line, kind, severity, block, document, ...) of messages that are not blank."""
-    ordered = ParsingOptions(patterns=tuple(sorted(reversed(options.patterns), key=lambda p: p.priority)), routes=options.routes, fence_kinds=options.fence_kinds, identifiers=options.identifiers)
+    """Rows (thread_id, msg_idx, line_no, line, kind, severity, block, document, ...) of messages that are not blank.
+
+    A line carries the number of its block's first line; a document is carried by its first line alone.
+    """
     role = F.when(F.col("lineage").isNotNull(), "summary").otherwise(F.col("role"))
     shown = messages.filter(F.col("content").rlike(P.NOT_SPACE))
     # only texts with a fence or a line that may open JSON go to Python
     block = F.regexp_like("content", F.lit(f"(?m){P.FENCE}")) | F.regexp_like("content", F.lit(f"(?m){P.JSON_START}"))
-    none = F.expr("array()").cast(BLOCKS)
-    plain = shown.filter(~block).withColumn("blocks", none)
-    mixed = shown.filter(block).withColumn("blocks", block_spans_udf(dict(options.fence_kinds))("content"))
-    rows = plain.unionByName(mixed).select("thread_id", "msg_idx", "id", role.alias("role"), "rewritable", "blocks", F.posexplode(X.lines(F.col("content"))).alias("line_no", "line"))
-    own = F.get(F.filter("blocks", lambda b: (b["first"] <= F.col("line_no")) & (F.col("line_no") <= b["last"])), F.lit(0))
-    kind, level = _kind_and_severity(F.col("line"), ordered)
-    rows = rows.withColumn("b", own).drop("blocks")
-    document = F.col("b.document")
-    said = [X.severity(F.get_json_object(document, f"$.{k}")) for k in ("level", "severity", "levelname", "log_level")]
+    order = [(e, k) for e, k in options.routes] + [(p.expression, p.kind) for p in _by_priority(options)]
+    plain = shown.filter(~block).withColumn("blocks", F.lit(None).cast(BLOCKS))
+    mixed = shown.filter(block).withColumn("blocks", blocks_udf(dict(options.fence_kinds), order)("content"))
+    split = F.arrays_zip(X.lines(F.col("content")).alias("line"), F.coalesce("blocks", F.expr("array()").cast(BLOCKS)).alias("b"))
+    rows = plain.unionByName(mixed).select("thread_id", "msg_idx", "id", role.alias("role"), "rewritable", F.posexplode(split).alias("line_no", "l"))
+    rows = rows.select("thread_id", "msg_idx", "id", "role", "rewritable", "line_no", "l.line", "l.b")
+    hits = _hits(F.col("line"), options)
+    rows = settle(rows, **hits)
+    kind, rank = _kind_and_rank(options)
+    names = X.literal_map({rank: name for name, rank in P.SEVERITY_RANKS.items()})
+    alone = F.col("b").isNull()
+    severity = F.when(alone | F.col("b.body"), F.element_at(names, rank)).otherwise(X.severity(F.col("b.level")))
     return rows.withColumns(
         {
-            "kind": F.when(F.col("b").isNotNull(), F.col("b.kind")).otherwise(kind),
-            "severity": F.when(document.isNotNull(), F.coalesce(*said)).when(F.col("b").isNull(), level),
+            "kind": F.when(alone, kind).otherwise(F.col("b.kind")),
+            "severity": severity,
             "block": F.col("b.first"),
-            "document": document,
+            "document": F.col("b.document"),
             "blank": ~F.col("line").rlike(P.NOT_SPACE),
         }
-    ).drop("b")
+    ).drop("b", *hits)
 
 
 def join_traces(lines: DataFrame) -> DataFrame:
@@ -152,6 +175,9 @@ def units(messages: DataFrame, options: ParsingOptions = DEFAULT_OPTIONS) -> Dat
         "thread_id", "msg_idx", "unit_pos", label.alias("unit_id"), "role", first.alias("kind"), text.alias("text"), (F.get("rows", F.lit(0))["line_no"] + 1).alias("first_line"),
         severities.alias("line_severities"), F.array_max(ranks).alias("rank"), "document", "rewritable",
     )
+    if options.detector is not None:
+        prose = out.filter("kind = 'text'").withColumn("kind", F.when(detector_udf(options.detector)("text"), "code").otherwise("text"))
+        out = prose.unionByName(out.filter("kind <> 'text'"))
     names = X.literal_map({rank: name for name, rank in P.SEVERITY_RANKS.items()})
     return out.withColumns(
         {
