@@ -6,9 +6,13 @@ a null thread and the empty one are the same scope.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.sources.storage import materialize
+
 RELATION = "derived_from"
 MAX_DEPTH = 100
 EDGE = ["scope", "source_id", "target_id", "relation"]
@@ -46,28 +50,22 @@ def walk(edges: DataFrame, wanted: DataFrame, max_depth: int = MAX_DEPTH) -> Dat
     Level by level: each step joins the newest sources with the links into them
     and drops sources that the root has met, so cycles end and each source is
     expanded once. Stops at an empty level or at max_depth. Each level is
-    written by checkpoint() where a folder is set, so plans do not grow.
+    written to the shared folder, so no level is computed twice.
     """
+    if isinstance(max_depth, bool) or not isinstance(max_depth, int) or max_depth < 1:
+        raise ValueError("max_depth must be positive")
     links = scoped(edges).select(*EDGE, "thread_id").distinct()
     seen = scoped(wanted).select("scope", F.col("entity_id").alias("root_id"), F.col("entity_id").alias("met")).distinct()
-    frontier, found = seen, None
+    frontier, levels = seen, []
     for depth in range(1, max_depth + 1):
         level = frontier.join(links, (frontier["scope"] == links["scope"]) & (frontier["met"] == links["target_id"])).drop(frontier["scope"])
-        level = _settled(level.select("scope", "root_id", F.lit(depth).alias("depth"), "thread_id", "source_id", "target_id", "relation"))
-        if level.isEmpty():
+        levels.append(materialize(level.select("scope", "root_id", F.lit(depth).alias("depth"), "thread_id", "source_id", "target_id", "relation"), "level"))
+        fresh = levels[-1].select("scope", "root_id", F.col("source_id").alias("met")).distinct()
+        frontier = materialize(fresh.join(seen, ["scope", "root_id", "met"], "left_anti"), "frontier")
+        if frontier.isEmpty():
             break
-        found = level if found is None else found.unionByName(level)
-        fresh = level.select("scope", "root_id", F.col("source_id").alias("met")).distinct()
-        frontier = _settled(fresh.join(seen, ["scope", "root_id", "met"], "left_anti"))
         seen = seen.unionByName(frontier)
-    if found is None:
-        found = level
-    return found.drop("scope")
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df
+    return reduce(DataFrame.unionByName, levels).drop("scope")
 
 
 WALK_SQL = """

@@ -6,10 +6,13 @@ is projection, so a rewrite adds no shuffle.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadloom.functions import text as X
 from threadloom.operators import windows as W
@@ -39,6 +42,29 @@ def failing() -> Model:
     return lambda _: F.lit(None).cast("string")
 
 
+def python_model(reply: Callable[[str], str | None], propagate: tuple[type[BaseException], ...] = ()) -> Model:
+    """A model from a Python function of one transcript.
+
+    What it raises is logged and makes that thread's model fail, but errors of
+    the types `propagate` end the job.
+    """
+
+    def ask(text: str | None) -> str | None:
+        try:
+            return None if text is None else reply(text)
+        except propagate:
+            raise
+        except Exception:  # noqa: BLE001
+            logging.getLogger("threadloom").warning("the summary model failed; trimming to the window", exc_info=True)
+            return None
+
+    @F.pandas_udf(T.StringType())
+    def asked(texts: pd.Series) -> pd.Series:
+        return texts.map(ask, na_action=None)
+
+    return lambda text: asked(text)
+
+
 def as_message(m: Column, **changes: Column) -> Column:
     """The message struct with some fields replaced, without columns that were added to it."""
     return F.struct(*[(changes[f] if f in changes else m[f]).alias(f) for f in _FIELDS]).cast(MESSAGE)

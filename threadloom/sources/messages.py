@@ -33,7 +33,7 @@ def as_messages(df: DataFrame) -> DataFrame:
     """A message table from any frame with thread_id, msg_idx, role and content.
 
     Missing columns get their defaults; null contents are empty; null tool calls
-    none; other columns are dropped.
+    none; other columns are dropped. A role that is none of ROLES, null included, raises at run time.
     """
     missing = {"thread_id", "msg_idx", "role", "content"} - set(df.columns)
     if missing:
@@ -43,15 +43,13 @@ def as_messages(df: DataFrame) -> DataFrame:
         value = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
         if default is not None:
             value = F.coalesce(value, F.expr(default).cast(kind))
-        out.append(value.alias(name))
+        out.append((_known_role(value) if name == "role" else value).alias(name))
     return df.select(*out)
 
 
-def check_messages(messages: DataFrame) -> DataFrame:
-    """The messages, failing at run time on a role that is none of ROLES."""
-    bad = F.concat(F.lit("unknown role: "), F.coalesce("role", F.lit("null")))
-    role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise(F.raise_error(bad).cast("string"))
-    return messages.withColumn("role", role)
+def _known_role(role: Column) -> Column:
+    bad = F.concat(F.lit("unknown role: "), F.coalesce(role, F.lit("null")))
+    return F.when(role.isin(*ROLES), role).otherwise(F.raise_error(bad).cast("string"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +135,8 @@ def from_chat_json(df: DataFrame, column: str = "native") -> DataFrame:
     """Messages from rows (thread_id, msg_idx, <column>) of chat objects as JSON text.
 
     Reads role or type (unknown: user), content, id, name, tool_calls (with
-    `function` or flat), tool_call_id and a lineage record. Content that is not
-    text makes the message not rewritable.
+    `function` or flat), tool_call_id and a lineage record, its own or one under
+    additional_kwargs. Content that is not text makes the message not rewritable.
     """
     native = F.col(column)
     field = lambda name: F.get_json_object(native, f"$.{name}")
@@ -152,7 +150,7 @@ def from_chat_json(df: DataFrame, column: str = "native") -> DataFrame:
     return as_messages(
         df.select(
             "thread_id", "msg_idx", role.alias("role"), content.alias("content"), field("id").alias("id"), field("name").alias("name"), F.coalesce(calls, F.expr("array()").cast(TOOL_CALLS)).alias("tool_calls"),
-            field("tool_call_id").alias("tool_call_id"), plain.alias("rewritable"), read_lineage(field("lineage"), field("id")).alias("lineage"),
+            field("tool_call_id").alias("tool_call_id"), plain.alias("rewritable"), read_lineage(F.coalesce(field("lineage"), field("additional_kwargs.lineage")), field("id")).alias("lineage"),
         )
     )
 

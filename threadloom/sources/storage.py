@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.errors import ConfigurationError
+
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir, as a full URI.
 
-    Only where that setting is unset, as in local tests, is a folder of this process taken.
+    Where that setting is unset, a local master takes a folder of this process;
+    on a cluster, whose executors do not see such a folder, this raises.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_threadloom_dir", None)
+    if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ConfigurationError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = sc._threadloom_dir = "file://" + tempfile.mkdtemp(prefix="threadloom-")
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
@@ -27,6 +37,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialize() writes inside are deleted at the end; what is read from them must be used before."""
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
@@ -35,6 +63,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if (paths := _SCRATCH.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

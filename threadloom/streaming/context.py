@@ -16,6 +16,7 @@ from threadloom.operators import rewrite
 from threadloom.operators.tokens import Budget, message_tokens, trigger_columns
 from threadloom.plans.engine import DEFAULT, Config, Result, summarize
 from threadloom.sources.sinks import Sink, safely
+from threadloom.sources.storage import scratch
 
 
 def running_decisions(messages: DataFrame, trigger=None, budget: Budget = Budget()) -> DataFrame:  # noqa: B008
@@ -43,7 +44,8 @@ def summarize_stream(
     those of the batch; commit(messages, result) stores what is new and replaces
     rewritten threads. A batch may be repeated after a failure, so commit must
     replace by (thread_id, msg_idx); summary ids are deterministic, so links and
-    summaries of a repeated batch are the same.
+    summaries of a repeated batch are the same. Scratch tables of a batch are
+    deleted when it has been committed.
     """
 
     def each(batch: DataFrame, _: int) -> None:
@@ -51,10 +53,11 @@ def summarize_stream(
         try:
             known = history(batch.select("thread_id").distinct())
             both = known.join(batch.select("thread_id", "msg_idx"), ["thread_id", "msg_idx"], "left_anti").unionByName(batch)
-            result = summarize(both, model, config)
-            commit(batch, result)
-            if events is not None:
-                safely(events)(result.events)
+            with scratch(batch.sparkSession):
+                result = summarize(both, model, config)
+                commit(batch, result)
+                if events is not None:
+                    safely(events)(result.events)
         finally:
             batch.unpersist()
 
