@@ -15,7 +15,7 @@ from threadloom.operators.tokens import Budget, message_tokens, thread_tokens, t
 from threadloom.plans import engine
 from threadloom.plans.oracles import ORACLES as ORACLES
 from threadloom.sources import sinks
-from threadloom.sources.messages import agent_context, conversations, to_chat_json
+from threadloom.sources.messages import agent_context, as_messages, conversations, to_chat_json
 from threadloom.sources.storage import settle
 
 UNIT = ["thread_id", "msg_idx", "unit_pos"]
@@ -85,6 +85,27 @@ def units(spark, sf_dir):
     return _units(spark, sf_dir).select(*UNIT, "role", "kind", F.sha2("text", 256).alias("text_sha256"), "first_line", F.size("line_severities").cast("long").alias("n_lines"), "severity", "has_error")
 
 
+def mixed_units(spark, sf_dir):
+    """Units of one message for each customer with every kind of content, in two orders."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key, poor = F.col("c_custkey").cast("string"), F.col("c_acctbal") < 0
+    parts = F.array(
+        F.concat(F.lit("Report for "), "c_name", F.lit(".\n\n")),
+        F.concat(F.lit('{"segment": "'), "c_mktsegment", F.lit('", "level": "'), F.when(poor, "err").otherwise("info"), F.lit('"}\n')),
+        F.concat(F.lit('{\n  "key": '), key, F.lit("\n}\n")),
+        F.concat(F.lit("2024-01-01T00:00:00Z INFO a "), key, F.lit("\n[10:00:00] started\n")),
+        F.lit('WARN slow\nlevel=warning msg="x"\n'),
+        F.concat(F.lit('Traceback (most recent call last):\n  File "a.py", line '), key, F.lit(", in main\n    total = compute(order)\nValueError: bad\n")),
+        F.lit("| a | b |\n|---|---|\n"),
+        F.concat(F.lit("```python\nx = "), key, F.lit("\n\nprint(x)\n```\n")),
+        F.lit("~~~\nplain\nFATAL b\n~~~\n"),
+        F.lit("Closing prose.\n"),
+    )
+    ordered = F.when(F.col("c_custkey") % 2 == 0, parts).otherwise(F.reverse(parts))
+    rows = c.select(F.col("c_custkey").alias("thread_id"), F.lit(0).alias("msg_idx"), F.lit("tool").alias("role"), F.array_join(ordered, "").alias("content"))
+    return U.units(as_messages(rows)).select("thread_id", F.col("unit_pos").cast("long").alias("unit_pos"), "kind", F.sha2("text", 256).alias("text_sha256"), "severity", "has_error")
+
+
 def kind_counts(spark, sf_dir):
     return U.kind_counts(_units(spark, sf_dir)).select("thread_id", F.explode("content_kinds").alias("kind", "units")).withColumn("units", F.col("units").cast("long"))
 
@@ -173,7 +194,8 @@ def events(spark, sf_dir):
 
 
 def event_metrics(spark, sf_dir):
-    return sinks.metrics(engine.summarize(agent_context(spark, sf_dir), rewrite.scripted(REPLY), REWRITE).events)
+    found = sinks.metrics(engine.summarize(agent_context(spark, sf_dir), rewrite.scripted(REPLY), REWRITE).events)
+    return found.withColumn("compression_ratio_mean", F.round("compression_ratio_mean", 9))
 
 
 def summary_links(spark, sf_dir):
@@ -192,13 +214,13 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineage_walk(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    wanted = edges.filter(F.col("target_id").endswith("-2")).select("thread_id", F.col("target_id").alias("entity_id")).distinct()
+    wanted = edges.select("thread_id", F.col("target_id").alias("entity_id")).distinct()
     return lineage.walk(edges, wanted).select("thread_id", "root_id", "depth", "source_id", "target_id")
 
 
 def lineage_delete(spark, sf_dir):
     edges = _edges(spark, sf_dir)
-    return lineage.delete(edges, edges.filter("thread_id % 2 = 0").select("thread_id"))[1]
+    return lineage.delete(edges, edges.select("thread_id"))[1]
 
 
 QUERIES = {
@@ -214,6 +236,7 @@ QUERIES = {
     "masked_text": masked_text,
     "signal_flags": signal_flags,
     "units": units,
+    "mixed_units": mixed_units,
     "kind_counts": kind_counts,
     "severity_counts": severity_counts,
     "repetition": repetition,

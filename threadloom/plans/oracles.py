@@ -85,6 +85,62 @@ pieces AS (SELECT *, key IS NOT NULL AND n >= 3 AND chars - c1 - c2 > length(mar
 joined AS (SELECT thread_id, msg_idx, unit_pos, min(text) AS text, string_agg(CASE WHEN NOT short THEN line WHEN nth = 1 THEN line || marker WHEN nth = n THEN line ELSE '' END, '' ORDER BY line_at) AS new_text FROM pieces GROUP BY 1, 2, 3),
 changed AS (SELECT * FROM joined WHERE length(new_text) < length(text))"""
 
+# Facts with what must be stated of each.
+NEEDED = r"""
+needed AS (SELECT f.thread_id, statement, CASE
+  WHEN starts_with(statement, 'User correction: ') THEN [lower(regexp_extract(statement, '(?i)\buse\s+([^.,;!?\n]{1,60}?)\s+instead\b', 1))]
+  WHEN starts_with(statement, 'User instruction: ') THEN [lower(statement[20:-2])]
+  WHEN starts_with(statement, 'Conflicting values ') THEN [lower(c.value_a), lower(c.value_b)]
+  ELSE [lower(statement)] END AS required FROM facts f LEFT JOIN conflicts c ON c.thread_id = f.thread_id)"""
+STATED = r"""regexp_matches(s.text, (CASE WHEN regexp_matches(r, '^\w') THEN '(?:^|\W)' ELSE '' END) || regexp_escape(r) || (CASE WHEN regexp_matches(r, '\w$') THEN '(?:\W|$)' ELSE '' END))"""
+
+# Rewritten threads: the last three messages stay, the rest becomes one summary that states what facts are lacking.
+_COST = "(ceil(octet_length(encode(text)) / 4.0)::BIGINT + 3)"
+_FOLDED = r"lower(trim(regexp_replace(content, '\s+', ' ', 'g')))"
+REWRITTEN = rf"""
+rebuilt AS (SELECT u.thread_id, u.msg_idx, count(k.new_text) AS changed, string_agg(coalesce(k.new_text, u.text), '' ORDER BY u.unit_pos) AS content
+  FROM units u LEFT JOIN changed k ON k.thread_id = u.thread_id AND k.msg_idx = u.msg_idx AND k.unit_pos = u.unit_pos GROUP BY 1, 2),
+paid AS (SELECT c.thread_id, c.msg_idx, c.role, coalesce(r.changed, 0) AS changed, c.content || CASE WHEN call_id IS NULL THEN '' ELSE chr(10) || 'order_status {{}}' END AS before, coalesce(r.content, c.content) || CASE WHEN call_id IS NULL THEN '' ELSE chr(10) || 'order_status {{}}' END AS after,
+  row_number() OVER (PARTITION BY c.thread_id ORDER BY c.msg_idx DESC) AS back FROM ctx c LEFT JOIN rebuilt r ON r.thread_id = c.thread_id AND r.msg_idx = c.msg_idx),
+draft AS (SELECT thread_id, string_agg({_FOLDED}, chr(1) ORDER BY msg_idx) || chr(1) || 'summary of the conversation so far: the user asked about an order; the carrier answered.' AS text
+  FROM (SELECT *, after AS content FROM paid) WHERE back <= 3 OR role = 'system' GROUP BY thread_id),
+lacking AS (SELECT f.* FROM needed f JOIN draft s ON s.thread_id = f.thread_id WHERE NOT list_bool_and(list_transform(f.required, lambda r: {STATED}))),
+told AS (SELECT l.thread_id, l.statement FROM lacking l LEFT JOIN (SELECT a.thread_id, a.statement, string_agg(lower(b.statement), chr(1)) AS text FROM lacking a JOIN lacking b ON a.thread_id = b.thread_id AND length(b.statement) > length(a.statement) GROUP BY 1, 2) s
+  ON s.thread_id = l.thread_id AND s.statement = l.statement WHERE s.text IS NULL OR NOT list_bool_and(list_transform(l.required, lambda r: {STATED}))),
+summaries AS (SELECT p.thread_id, 'Summary of the conversation so far:' || chr(10) || chr(10) || 'The user asked about an order; the carrier answered.'
+  || coalesce(chr(10) || chr(10) || 'Facts preserved verbatim from the earlier conversation:' || chr(10) || t.bullets, '') AS text, t.bullets IS NOT NULL AS lacks
+  FROM (SELECT DISTINCT thread_id FROM paid) p LEFT JOIN (SELECT thread_id, string_agg('- ' || statement, chr(10)) AS bullets FROM told GROUP BY 1) t ON t.thread_id = p.thread_id),
+stray AS (SELECT thread_id, bool_or(back <= 3 AND role = 'tool' AND msg_idx = (SELECT max(x.msg_idx) FROM ctx x WHERE x.thread_id = p.thread_id AND x.role = 'tool' AND NOT EXISTS (SELECT 1 FROM ctx c WHERE c.thread_id = x.thread_id AND c.call_id = x.tool_call_id))) AS stray FROM paid p GROUP BY 1),
+sums AS (SELECT thread_id, count(*) AS n, sum({_COST.replace("text", "before")})::BIGINT AS tokens, sum({_COST.replace("text", "after")})::BIGINT AS prepared, sum({_COST.replace("text", "after")}) FILTER (back <= 3 OR role = 'system')::BIGINT AS stays, sum(changed)::BIGINT AS compacted,
+  'threadloom-summary-' || substr(sha256(thread_id || chr(0) || '1' || chr(0) || string_agg('m-' || thread_id || '-' || msg_idx, ',' ORDER BY msg_idx) FILTER (back > 3 AND role <> 'system')), 1, 32) AS summary_id FROM paid GROUP BY 1),
+results AS (SELECT a.thread_id, summary_id, 1 AS generation, n || ' messages >= 7' AS trigger_reason, n::BIGINT AS input_messages, tokens AS input_tokens, 830::BIGINT AS available_tokens, greatest(tokens - 830, 0)::BIGINT AS overflow_tokens,
+  CASE WHEN compacted > 0 THEN prepared ELSE tokens END AS prepared_tokens, 5::BIGINT AS output_messages, stays + {_COST} AS output_tokens, (stays + {_COST}) / tokens::DOUBLE AS compression_ratio, compacted AS compacted_units,
+  (SELECT count(*) FROM must m WHERE m.thread_id = a.thread_id)::BIGINT AS must_preserve_units, (SELECT count(*) FROM facts f WHERE f.thread_id = a.thread_id)::BIGINT AS must_preserve_facts,
+  (SELECT '{{' || string_agg('"' || kind || '":' || k, ',' ORDER BY kind) || '}}' FROM (SELECT kind, count(*) AS k FROM units u WHERE u.thread_id = a.thread_id GROUP BY kind)) AS content_kinds,
+  CASE WHEN stray THEN 'failed_unrecovered' WHEN lacks THEN 'failed_recovered' ELSE 'passed' END AS validation_status, CASE WHEN lacks THEN 'restated_facts' WHEN stray THEN 'none_applicable' ELSE 'none_needed' END AS recovery_status, 'balanced' AS policy
+  FROM sums a JOIN summaries b ON b.thread_id = a.thread_id JOIN stray c ON c.thread_id = a.thread_id)"""
+
+# The JSON list of a user's events, and equal items of a group as one counted marker where that is shorter.
+JSON_ITEMS = """items AS (SELECT user_id AS thread_id, event_id AS nth, replace(props, '": ', '":') AS item FROM events)"""
+JSON_COUNTED = """sized AS (SELECT *, count(*) OVER g AS n, row_number() OVER (g ORDER BY nth) AS k FROM runs WINDOW g AS (PARTITION BY thread_id, grp)),
+marked AS (SELECT *, '{"__repeated__":' || n || ',"value":' || item || '}' AS marker FROM sized),
+counted AS (SELECT thread_id, nth, CASE WHEN n > 1 AND length(marker) < n * length(item) + n - 1 THEN marker ELSE item END AS text FROM marked WHERE k = 1 OR NOT (n > 1 AND length(marker) < n * length(item) + n - 1))"""
+
+# One message for each customer from parts whose kind and severity are known, in two orders.
+MIXED = r"""WITH base AS (SELECT c_custkey, c_mktsegment AS seg, [
+  {'kind': 'text', 'severity': NULL, 'text': 'Report for ' || c_name || '.' || chr(10) || chr(10)},
+  {'kind': 'json', 'severity': CASE WHEN c_acctbal < 0 THEN 'ERROR' ELSE 'INFO' END, 'text': '{"segment": "' || c_mktsegment || '", "level": "' || CASE WHEN c_acctbal < 0 THEN 'err' ELSE 'info' END || '"}' || chr(10)},
+  {'kind': 'json', 'severity': NULL, 'text': '{' || chr(10) || '  "key": ' || c_custkey || chr(10) || '}' || chr(10)},
+  {'kind': 'log', 'severity': 'INFO', 'text': '2024-01-01T00:00:00Z INFO a ' || c_custkey || chr(10) || '[10:00:00] started' || chr(10)},
+  {'kind': 'log', 'severity': 'WARNING', 'text': 'WARN slow' || chr(10) || 'level=warning msg="x"' || chr(10)},
+  {'kind': 'error', 'severity': 'ERROR', 'text': 'Traceback (most recent call last):' || chr(10) || '  File "a.py", line ' || c_custkey || ', in main' || chr(10) || '    total = compute(order)' || chr(10) || 'ValueError: bad' || chr(10)},
+  {'kind': 'table', 'severity': NULL, 'text': '| a | b |' || chr(10) || '|---|---|' || chr(10)},
+  {'kind': 'code', 'severity': NULL, 'text': '```python' || chr(10) || 'x = ' || c_custkey || chr(10) || chr(10) || 'print(x)' || chr(10) || '```' || chr(10)},
+  {'kind': 'log', 'severity': 'CRITICAL', 'text': '~~~' || chr(10) || 'plain' || chr(10) || 'FATAL b' || chr(10) || '~~~' || chr(10)},
+  {'kind': 'text', 'severity': NULL, 'text': 'Closing prose.' || chr(10)}] AS up FROM customer),
+parts AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN up ELSE list_reverse(up) END AS list FROM base)
+"""
+
 _TOKENS = "(ceil(octet_length(encode(text)) / 4.0)::BIGINT + 3)"
 
 
@@ -102,7 +158,11 @@ ORACLES = {
     "trigger_or_and": f"""WITH t AS (SELECT conv_id AS thread_id, count(*)::BIGINT AS messages, sum({_TOKENS})::BIGINT AS tokens FROM conversations GROUP BY conv_id)
 SELECT *, CASE WHEN tokens >= 500 AND messages >= 5 THEN tokens || ' tokens >= 500 and ' || messages || ' messages >= 5' ELSE messages || ' messages >= 7' END AS reason,
   CASE WHEN tokens >= 500 AND messages >= 5 THEN tokens - 500 ELSE 0 END::BIGINT AS overflow FROM t WHERE (tokens >= 500 AND messages >= 5) OR messages >= 7""",
-    "keep_messages": context(select="SELECT thread_id, 2 AS cut FROM ctx GROUP BY thread_id"),
+    "keep_messages": context(
+        select="""SELECT p.thread_id, least(min(p.n) - 5, min(c.at))::INT AS cut FROM (SELECT *, row_number() OVER w - 1 AS at, count(*) OVER (PARTITION BY thread_id) AS n FROM ctx WINDOW w AS (PARTITION BY thread_id ORDER BY msg_idx)) p
+  LEFT JOIN (SELECT thread_id, call_id, row_number() OVER (PARTITION BY thread_id ORDER BY msg_idx) - 1 AS at FROM ctx) c ON c.thread_id = p.thread_id AND c.call_id = p.tool_call_id AND p.at >= p.n - 5 AND c.at < p.n - 5
+GROUP BY p.thread_id"""
+    ),
     "keep_tokens": f"""WITH t AS (SELECT conv_id, turn, {_TOKENS} AS k FROM conversations),
 s AS (SELECT *, sum(k) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, sum(k) OVER (PARTITION BY conv_id) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM t)
 SELECT conv_id AS thread_id, (CASE WHEN max(total) <= 400 THEN 0 ELSE least(coalesce(min(pos) FILTER (back <= 400), max(n)), max(n) - 1) END)::INT AS cut FROM s GROUP BY conv_id""",
@@ -123,7 +183,7 @@ SELECT conv_id AS thread_id, count(*)::INT AS kept, min(turn) FILTER (role <> 's
     "preservation_maximum_preservation": context(*_ANALYSIS, levels(0.60, 0.30, 0.45), select="SELECT thread_id, msg_idx, unit_pos, level FROM classified"),
     "preservation_maximum_compression": context(*_ANALYSIS, levels(0.90, 0.65, 0.80), select="SELECT thread_id, msg_idx, unit_pos, level FROM classified"),
     "facts": context(*_ANALYSIS, _BALANCED, FACTS, select="SELECT thread_id, statement FROM facts"),
-    "orphan_tool_results": context(select="SELECT thread_id, msg_idx, tool_call_id FROM ctx WHERE role = 'tool' AND msg_idx = 6"),
+    "orphan_tool_results": context(select="SELECT thread_id, msg_idx, tool_call_id FROM ctx t WHERE role = 'tool' AND NOT EXISTS (SELECT 1 FROM ctx c WHERE c.thread_id = t.thread_id AND c.call_id = t.tool_call_id AND c.msg_idx < t.msg_idx)"),
     "tool_exchange": context(select="SELECT a.thread_id, a.msg_idx AS call_idx, b.msg_idx AS result_idx FROM ctx a JOIN ctx b ON a.thread_id = b.thread_id AND a.call_id = b.tool_call_id AND a.msg_idx < b.msg_idx"),
     "log_collapse": context(*_ANALYSIS, _BALANCED, COLLAPSED, select="SELECT thread_id, msg_idx, unit_pos, sha256(new_text) AS new_sha256, length(text)::BIGINT AS chars, length(new_text)::BIGINT AS new_chars FROM changed"),
     "rebuild": context(
@@ -135,9 +195,36 @@ SELECT conv_id AS thread_id, count(*)::INT AS kept, min(turn) FILTER (role <> 's
     "lineage_walk": """WITH RECURSIVE e AS (
   SELECT conv_id AS thread_id, 'm-' || conv_id || '-' || turn AS source_id, 's-' || conv_id || '-' || (turn // 2) AS target_id FROM conversations
   UNION SELECT conv_id, 's-' || conv_id || '-' || (turn // 2 - 1), 's-' || conv_id || '-' || (turn // 2) FROM conversations WHERE turn >= 2),
-r AS (SELECT DISTINCT thread_id, target_id AS root_id FROM e WHERE target_id LIKE 's-%-2'),
+r AS (SELECT DISTINCT thread_id, target_id AS root_id FROM e),
 w AS (SELECT r.thread_id, root_id, 1 AS depth, source_id, target_id FROM r JOIN e ON e.thread_id = r.thread_id AND e.target_id = root_id
   UNION SELECT w.thread_id, root_id, w.depth + 1, e.source_id, e.target_id FROM w JOIN e ON e.thread_id = w.thread_id AND e.target_id = w.source_id)
 SELECT thread_id, root_id, min(depth)::INT AS depth, source_id, target_id FROM w GROUP BY thread_id, root_id, source_id, target_id""",
-    "lineage_delete": "SELECT conv_id AS thread_id, (count(DISTINCT turn) + count(DISTINCT turn // 2) FILTER (turn >= 2))::BIGINT AS removed FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id",
+    "lineage_delete": "SELECT conv_id AS thread_id, (count(DISTINCT turn) + count(DISTINCT turn // 2) FILTER (turn >= 2))::BIGINT AS removed FROM conversations GROUP BY conv_id",
+    "validation": context(
+        *_ANALYSIS, _BALANCED, FACTS, NEEDED,
+        select="""SELECT f.thread_id, count(*)::INT AS facts, count(*) FILTER (NOT list_bool_and(list_transform(f.required, lambda r: stated(r, s.text))))::INT AS missing
+FROM needed f JOIN (SELECT thread_id, string_agg(lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), chr(1) ORDER BY msg_idx) AS text FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY msg_idx DESC) AS back FROM ctx) WHERE back <= 3 GROUP BY thread_id) s ON s.thread_id = f.thread_id GROUP BY f.thread_id""".replace("stated(r, s.text)", STATED),
+    ),
+    "events": context(*_ANALYSIS, _BALANCED, FACTS, NEEDED, COLLAPSED, REWRITTEN, select="SELECT * FROM results"),
+    "event_metrics": context(
+        *_ANALYSIS, _BALANCED, FACTS, NEEDED, COLLAPSED, REWRITTEN,
+        select="""SELECT validation_status, recovery_status, policy, count(*)::BIGINT AS summarizations, sum(compacted_units)::BIGINT AS compacted_units, sum(input_tokens)::BIGINT AS input_tokens_sum, median(input_tokens)::DOUBLE AS input_tokens_median,
+  sum(output_tokens)::BIGINT AS output_tokens_sum, median(output_tokens)::DOUBLE AS output_tokens_median, round(avg(compression_ratio), 9) AS compression_ratio_mean FROM results GROUP BY ALL""",
+    ),
+    "summary_links": context(
+        select="""SELECT thread_id, source_id, 'threadloom-summary-' || substr(sha256(thread_id || chr(0) || '1' || chr(0) || string_agg(source_id, ',') OVER (PARTITION BY thread_id ORDER BY msg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 1, 32) AS target_id, 'derived_from' AS relation
+FROM (SELECT thread_id, msg_idx, 'm-' || thread_id || '-' || msg_idx AS source_id, row_number() OVER (PARTITION BY thread_id ORDER BY msg_idx DESC) AS back FROM ctx) WHERE back > 3 AND msg_idx > 0"""
+    ),
+    "json_minify": f"""WITH {JSON_ITEMS} SELECT thread_id, '[' || string_agg(item, ',' ORDER BY nth) || ']' AS compacted, length('[' || string_agg(item, ',' ORDER BY nth) || ']')::INT AS chars FROM items GROUP BY thread_id""",
+    "json_collapse": f"""WITH {JSON_ITEMS},
+runs AS (SELECT *, sum(o) OVER (PARTITION BY thread_id ORDER BY nth) AS grp FROM (SELECT *, CASE WHEN lag(item) OVER (PARTITION BY thread_id ORDER BY nth) IS DISTINCT FROM item THEN 1 ELSE 0 END AS o FROM items)),
+{JSON_COUNTED} SELECT thread_id, '[' || string_agg(text, ',' ORDER BY nth) || ']' AS compacted, length('[' || string_agg(text, ',' ORDER BY nth) || ']')::INT AS chars FROM counted GROUP BY thread_id""",
+    "json_sample": f"""WITH {JSON_ITEMS},
+runs AS (SELECT *, item AS grp FROM items),
+{JSON_COUNTED},
+ended AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY nth) AS place, count(*) OVER (PARTITION BY thread_id) AS n FROM counted),
+spans AS (SELECT thread_id, sum(length(text)) + count(*) - 1 AS chars, '{{"__omitted__":' || count(*) || '}}' AS marker FROM ended WHERE place > 5 AND place <= n - 5 GROUP BY thread_id),
+kept AS (SELECT e.thread_id, nth, CASE WHEN s.marker IS NOT NULL AND length(s.marker) < s.chars AND place > 5 AND place <= n - 5 THEN CASE WHEN place = 6 THEN s.marker END ELSE text END AS text FROM ended e LEFT JOIN spans s ON s.thread_id = e.thread_id)
+SELECT thread_id, '[' || string_agg(text, ',' ORDER BY nth) || ']' AS compacted, length('[' || string_agg(text, ',' ORDER BY nth) || ']')::INT AS chars FROM kept GROUP BY thread_id""",
+    "mixed_units": MIXED + "SELECT c_custkey AS thread_id, p.place - 1 AS unit_pos, p.part.kind AS kind, sha256(p.part.text) AS text_sha256, p.part.severity AS severity, p.part.severity IN ('ERROR', 'CRITICAL') AND p.part.severity IS NOT NULL OR p.part.kind = 'error' AS has_error FROM parts, LATERAL (SELECT unnest(list) AS part, generate_subscripts(list, 1) AS place) p",
 }
