@@ -62,8 +62,8 @@ SUBSET_PARTITIONS = {0: 1, 1: 8, 2: 6, 3: 7}
 BAND_MASK = 63
 #: Entries of a worker's cache of word hashes, and of sets already signed by a task.
 CACHE = 1 << 18
-#: Bits of the filter that keeps sets without a candidate from being moved: 1 MB.
-FILTER_BITS = 1 << 23
+#: Bits for each wanted text, and at most (8 MB), of the filter that keeps texts without a candidate from being moved.
+FILTER_SHARE, FILTER_BITS = 16, 1 << 26
 COLUMNS = 4096
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -277,8 +277,9 @@ def _edges(buckets: DataFrame) -> DataFrame:
 
 
 def _may_have(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows whose th may be among those of `wanted`: a filter of FILTER_BITS bits, however many there are."""
-    word = (F.pmod(F.col("th"), F.lit(FILTER_BITS)) / 64).cast("int")
+    """Rows whose th may be among those of `wanted`, by a bit filter whose size grows with them up to FILTER_BITS."""
+    bits = min(FILTER_BITS, 1 << max(16, (FILTER_SHARE * wanted.count()).bit_length()))
+    word = (F.pmod(F.col("th"), F.lit(bits)) / 64).cast("int")
     bit = F.expr("shiftleft(1L, cast(pmod(th, 64) as int))")
     masks = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
     kept = rows.withColumn("word", word).join(F.broadcast(masks), "word")
@@ -475,3 +476,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERY = ("op3_ngram_jaccard", query)
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, rid, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS grams FROM d),
+t AS (SELECT any_value(rid) AS tid, grams, list(rid) AS rids FROM s WHERE len(grams) > 0 GROUP BY list_sort(grams), grams),
+g AS (SELECT tid, unnest(grams) AS gram FROM t),
+e AS (SELECT a.tid AS a, b.tid AS b FROM g a JOIN g b ON a.gram = b.gram AND a.tid <> b.tid JOIN t x ON x.tid = a.tid JOIN t y ON y.tid = b.tid
+      GROUP BY a.tid, b.tid, len(x.grams), len(y.grams) HAVING 100 * count(*) >= 85 * (len(x.grams) + len(y.grams) - count(*))),
+r AS (SELECT tid AS a, tid AS b FROM t UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT tid, min(doc_id) AS least FROM (SELECT tid, unnest(rids) AS rid FROM t) JOIN s USING (rid) GROUP BY tid),
+c AS (SELECT r.a AS tid, min(m.least) AS component_id FROM r JOIN m ON m.tid = r.b GROUP BY r.a)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, CASE WHEN len(s.grams) = 0 THEN s.doc_id ELSE c.component_id END AS component_id
+FROM s LEFT JOIN (SELECT tid, unnest(rids) AS rid FROM t) o USING (rid) LEFT JOIN c USING (tid)
+"""
