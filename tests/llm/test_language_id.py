@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from threadloom.llm import language_id as L
@@ -76,6 +78,61 @@ def test_low_scores_with_a_clear_lead_or_a_label_stay(spark):
     assert L.keep_identified(spark.createDataFrame(rows, "key long, text string, lang string").drop("lang"), f).count() == 3
 
 
+def plain_grams(text):
+    """N-grams of letters, other runs as one space, as strings."""
+    spaced = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    whole = f" {spaced} "
+    return [whole[i : i + n] for n in L.ORDERS for i in range(len(whole) - n + 1)]
+
+
+def test_training_and_prediction_equal_a_plain_version(spark):
+    """Sets of n-grams in place of filters; scores differ by what the filters' false positives leave."""
+    rng = random.Random(6)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(150)] for lang, letters in (("aa", "abcdefg"), ("bb", "defghijk"), ("cc", "éüßabcx"))}
+    rows = []
+    for i in range(240):
+        lang = ("aa", "bb", "cc")[i % 3]
+        other = rng.choice(list(words))
+        text = " ".join(rng.choice(words[other if rng.random() < 0.2 else lang]) + rng.choice(["", ",", ". ", "!"]) for _ in range(rng.randrange(1, 60)))
+        rows.append((i, text, None if i % 17 == 0 else lang))
+    rows += [(500, "", "aa"), (501, None, "bb"), (502, "12 34", "cc"), (503, "zzz", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, docs = {}, {}
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            docs[lang] = docs.get(lang, 0) + 1
+            for g in set(plain_grams(text)):
+                counts[lang, g] = counts.get((lang, g), 0) + 1
+    seen = {k: n for k, n in counts.items() if n >= L.MIN_COUNT}
+    top = {}
+    for (lang, g), n in seen.items():
+        top[g] = max(top.get(g, 0), n / docs[lang])
+    member = {(lang, g) for (lang, g), n in seen.items() if n / docs[lang] >= L.KEEP_RATIO * top[g]}
+    got = {r.doc_id: r for r in L.identify(df, L.train(df)).collect()}
+    close = 0
+    for i, text, _ in rows:
+        grams = plain_grams(text) if text and any(c.isalpha() for c in text) else []
+        if not grams:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        share = sorted(((sum((lang, g) in member for g in grams) / len(grams), lang) for lang in docs), key=lambda x: (-x[0], x[1]))
+        assert abs(got[i].score - share[0][0]) < 0.01
+        if share[0][0] - share[1][0] > 0.01:
+            assert got[i].lang_pred == share[0][1]
+            close += 1
+    assert close > 200
+
+
+def test_equal_shares_go_to_the_first_language():
+    f = L.Filters(["a", "b", "c"])
+    for h in L._all_hashes("same words here"):
+        f.add(2, h)
+        f.add(1, h)
+    rates = np.zeros(3)
+    assert f.predict("same words here", rates) == ("b", 1.0)
+    assert f.predict("qqqq", rates)[0] == "a"
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
