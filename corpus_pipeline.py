@@ -1,7 +1,9 @@
 """A training corpus from documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. SQL cannot express the classifier, the secret
+return the columns of documents. Every stage takes nulls in any column, empty and
+very long texts, equal and repeated rows and empty tables; what becomes of them is
+said at each. Other columns are kept, whatever their names. SQL cannot express the classifier, the secret
 patterns' checksums and the sampled segmentations, so ORACLE_SQL is None.
 """
 
@@ -15,29 +17,36 @@ from threadloom.llm.shared import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without an identifiable language go. The classifier learns from this stage's own documents."""
+    """Texts without an identifiable language go, null and empty ones and those without a letter among them.
+
+    The classifier learns from this stage's own documents with text and label;
+    without any, all go. Repeated rows fare alike; null ids and sources do not matter.
+    """
     filters = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
     return language_id.keep_identified(docs, filters)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose 5-word shingles have a similarity of 0.8 or more, the one with the least doc_id stays."""
+    """Of each component of texts whose 5-word shingles have a similarity of 0.8 or more, the one with the least doc_id stays.
+
+    Null ids come last; rows equal in id and text count as one; null texts and texts without words all stay.
+    """
     return ngram_join.keep_one(docs, words=5, num=4, den=5)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets inside texts are replaced by marks; all documents stay."""
+    """Secrets inside texts are replaced by marks; all documents stay, null and empty texts as they are."""
     clean = secrets_scan.redact_rows(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: 0, 1 or 2 times."""
+    """Documents as often as the mix takes them: 0, 1 or 2 times; null and empty texts never. A null source is one of its own."""
     return mixing.mix_rows(docs)
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct segmentations of each document, with token ids."""
+    """Two distinct segmentations of each document, with token ids; a null or empty text has one, without tokens. Repeated rows have equal ones."""
     return piece_sampling.sample(docs)
 
 
