@@ -62,7 +62,7 @@ SUBSET_PARTITIONS = {0: 1, 1: 8, 2: 6, 3: 7}
 BAND_MASK = 63
 #: Entries of a worker's cache of word hashes, and of sets already signed by a task.
 CACHE = 1 << 18
-#: Bits for each wanted text, and at most (8 MB), of the filter that keeps texts without a candidate from being moved.
+#: Bits for each wanted value, and at most (8 MB), of the filters that keep rows without a candidate from being moved.
 FILTER_SHARE, FILTER_BITS = 16, 1 << 26
 COLUMNS = 4096
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -265,8 +265,8 @@ def _able(signed: DataFrame, buckets: DataFrame) -> DataFrame:
     shared = buckets.filter("kind = 2").groupBy(F.col("a").alias("name"), F.col("b").cast("int").alias("at")).agg(F.sum("n").alias("shared"))
     needs = signed.select("name", F.posexplode("need").alias("step", "least"), "band").distinct()
     needs = needs.withColumn("at", (F.col("band") + F.col("step")) % (BAND_MASK + 1))
-    able = shared.join(needs, ["name", "at"]).filter(F.col("shared") >= F.col("least")).select("name").distinct()
-    return signed.join(able, "name", "left_semi")
+    able = materialize(shared.join(needs, ["name", "at"]).filter(F.col("shared") >= F.col("least")).select("name").distinct(), "names")
+    return _may_have(able, signed.select("name", "signs"), "name").join(able, "name", "left_semi")
 
 
 def _edges(buckets: DataFrame) -> DataFrame:
@@ -276,11 +276,11 @@ def _edges(buckets: DataFrame) -> DataFrame:
     return buckets.filter("kind = 0").select("a", "b").union(across)
 
 
-def _may_have(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows whose th may be among those of `wanted`, by a bit filter whose size grows with them up to FILTER_BITS."""
+def _may_have(wanted: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose hash in a column may be among those of `wanted`, by a bit filter whose size grows with them up to FILTER_BITS."""
     bits = min(FILTER_BITS, 1 << max(16, (FILTER_SHARE * wanted.count()).bit_length()))
-    word = (F.pmod(F.col("th"), F.lit(bits)) / 64).cast("int")
-    bit = F.expr("shiftleft(1L, cast(pmod(th, 64) as int))")
+    word = (F.pmod(F.col(column), F.lit(bits)) / 64).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
     masks = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask"))
     kept = rows.withColumn("word", word).join(F.broadcast(masks), "word")
     return kept.filter(F.col("mask").bitwiseAND(bit) != 0).drop("word", "mask")
@@ -437,7 +437,8 @@ def _classes(source: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     every = everything.filter("signs is not null")
     seen = _buckets(every)
     # what cannot link is left out, so that it chains no classes together
-    able = materialize(_able(every, seen).select("name", "signs"), "able")
+    discard()  # the exchanged signatures are on disk still
+    able = materialize(_able(every, seen), "able")
     discard(everything, seen)
     buckets = _buckets(able)
     coarse = components(_edges(buckets))
@@ -446,7 +447,7 @@ def _classes(source: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     wanted = coarse.withColumnRenamed("node", "name").join(texts, "name").select("root", "name", "n", "t.th", "t.tk")
     wanted = materialize(_tasks(wanted, num, den), "wanted")
     ids = wanted.select("th", "tk").distinct()
-    once = _may_have(ids, source.select("th", "tk", "text")).groupBy("th", "tk").agg(F.first("text").alias("text"))
+    once = _may_have(ids, source.select("th", "tk", "text"), "th").groupBy("th", "tk").agg(F.first("text").alias("text"))
     members = once.join(wanted, ["th", "tk"])
     links = materialize(_compare(members, words, num, den), "links")
     discard(wanted)
