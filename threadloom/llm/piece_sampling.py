@@ -34,7 +34,7 @@ import hashlib
 import heapq
 import math
 import re
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -148,9 +148,17 @@ class Vocabulary:
     def normalized(self, text: str) -> str:
         return self.model.normalize(text)
 
+    def spaced(self, text: str) -> bool:
+        """Whether the text is words between single spaces, so that normalizing it only marks these."""
+        return self.plain and self.split and text[0] != " " and "  " not in text and _MARK not in text and "\0" not in text
+
+    def decoded(self, text: str) -> str:
+        """What decoding any segmentation of the text gives."""
+        return text if self.spaced(text) else self.normalized(text).replace(_MARK, " ").removeprefix(" ")
+
     def words(self, text: str) -> list[str]:
         """The parts of the normalized text whose lattices are independent."""
-        if self.plain and self.split and text[0] != " " and "  " not in text and _MARK not in text and "\0" not in text:
+        if self.spaced(text):
             return (_MARK + text.replace(" ", "\0" + _MARK)).split("\0")
         norm = self.normalized(text)
         return (_WORD.findall(norm) if self.split else [norm]) if norm else []
@@ -183,28 +191,44 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+_PLACES = {"is_end": bool, "first": np.int32, "count": np.int8}
+_EDGES = {"start": np.int32, "end": np.int32, "piece": np.int32, "logp": np.float64, "cum": np.float64, "rest": np.float64}
+
+
 class Lattices:
-    """Lattices of many words at once. Node n of the word that starts at place b is b + n; a word has a place for each character and one for its end."""
+    """Lattices of many words at once. Node n of the word that starts at place b is b + n; a word has a place for each character and one for its end.
+
+    `numbers` names the words that are kept from one slice to the next. Arrays have
+    room to grow, so that adding words does not move those that are there.
+    """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.numbers: dict[str, int] = {}
         self.base = np.zeros(1, np.int64)
-        self.is_end = np.empty(0, bool)
-        self.start = self.end = self.piece = np.empty(0, np.int32)
-        self.logp = self.cum = self.rest = np.empty(0)
-        self.first, self.count = np.empty(0, np.int32), np.empty(0, np.int8)
+        self.places = self.edges = 0
+        for name, kind in (_PLACES | _EDGES).items():
+            setattr(self, name, np.empty(0, kind))
 
     def __len__(self):
-        return len(self.is_end)
+        return self.places
+
+    def _append(self, size: int, **columns: np.ndarray) -> None:
+        """Write columns of equal length behind the first `size` values of their arrays."""
+        for name, values in columns.items():
+            held = getattr(self, name)
+            if size + len(values) > len(held):
+                room = np.empty((size + len(values)) * 5 // 4, held.dtype)
+                room[:size] = held[:size]
+                setattr(self, name, room)
+                held = room
+            held[size : size + len(values)] = values
 
     def add(self, words: list[str]) -> None:
-        """Build the lattices of words that are not there yet."""
+        """Build the lattices of words, which get the next numbers."""
         if not words:
             return
-        vocab, shift, before = self.vocab, len(self.is_end), len(self.start)
-        for w in words:
-            self.numbers[w] = len(self.numbers)
+        vocab, shift, before = self.vocab, self.places, self.edges
         lengths = np.array([len(w) for w in words], np.int64)
         base = np.concatenate([[0], np.cumsum(lengths + 1)])
         codes = np.zeros(int(base[-1]), np.uint64)
@@ -282,25 +306,18 @@ class Lattices:
         with np.errstate(divide="ignore"):
             others = np.log1p(-np.exp(logp))
         others[group[count[owner] == 1]] = -np.inf
-        self.rest = np.concatenate([self.rest, others])
         self.base = np.concatenate([self.base, base[1:] + shift])
-        self.is_end = np.concatenate([self.is_end, ~inside])
-        self.start, self.end = np.concatenate([self.start, start + np.int32(shift)]), np.concatenate([self.end, end + np.int32(shift)])
-        self.piece, self.logp, self.cum = np.concatenate([self.piece, piece]), np.concatenate([self.logp, logp]), np.concatenate([self.cum, cum])
-        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
+        self._append(shift, is_end=~inside, first=first, count=count)
+        self._append(before, start=start + np.int32(shift), end=end + np.int32(shift), piece=piece, logp=logp, cum=cum, rest=others)
+        self.places, self.edges = shift + len(inside), before + total
 
     def mark(self) -> tuple[int, int, int]:
-        return len(self.numbers), len(self.is_end), len(self.start)
+        return len(self.base), self.places, self.edges
 
     def back_to(self, mark: tuple[int, int, int]) -> None:
-        """Forget the words that were added after a mark."""
-        words, places, edges = mark
-        while len(self.numbers) > words:
-            self.numbers.popitem()
-        self.base = self.base[: words + 1]
-        self.is_end, self.first, self.count = self.is_end[:places], self.first[:places], self.count[:places]
-        for name in ("start", "end", "piece", "logp", "cum", "rest"):
-            setattr(self, name, getattr(self, name)[:edges])
+        """Forget the lattices that were added after a mark."""
+        words, self.places, self.edges = mark
+        self.base = self.base[:words]
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """One edge of each node by its conditional probability."""
@@ -324,21 +341,6 @@ class Lattices:
         return pieces.astype(np.int32, copy=False)
 
 
-class _Numbering(dict):
-    """Numbers of words: those known, then new ones as they come."""
-
-    def __init__(self, known: dict[str, int]):
-        self.known, self.new = known, []
-
-    def __missing__(self, word: str) -> int:
-        number = self.known.get(word)
-        if number is None:
-            number = len(self.known) + len(self.new)
-            self.new.append(word)
-        self[word] = number
-        return number
-
-
 def seed_of(key, seed: int = SEED) -> int:
     return xxhash.xxh3_64_intdigest(repr(key).encode(), seed)
 
@@ -358,18 +360,23 @@ def sample_texts(vocab: Vocabulary, keys: list, texts: list[str | None], samples
     lattices = vocab.lattices
     if len(lattices) > KEPT_PLACES:
         lattices = vocab.lattices = Lattices(vocab)
-    numbering = _Numbering(lattices.numbers)
-    kind = np.fromiter(map(numbering.__getitem__, flat), np.int64, len(flat))
-    known = len(lattices.numbers)
-    often = np.bincount(kind, minlength=known + len(numbering.new))[known:] > 1
+    different = dict.fromkeys(flat)
+    known = lattices.numbers
+    number = np.fromiter(map(known.get, different, repeat(-1)), np.int64, len(different))
+    different.update(zip(different, range(len(different)), strict=True))
+    kind = np.fromiter(map(different.__getitem__, flat), np.int64, len(flat))
+    new = number < 0
+    often = new & (np.bincount(kind, minlength=len(different)) > 1)
     # words that stand here once are built last, to be forgotten after the slice
-    place_of = np.empty(len(often), np.int64)
-    place_of[often] = np.arange(often.sum())
-    place_of[~often] = np.arange(often.sum(), len(often))
-    kind = np.concatenate([np.arange(known), place_of + known])[kind]
-    lattices.add([w for w, o in zip(numbering.new, often.tolist(), strict=True) if o])
+    kept = [w for w, o in zip(different, often.tolist(), strict=True) if o]
+    once = [w for w, o in zip(different, (new & ~often).tolist(), strict=True) if o]
+    number[often] = np.arange(len(known), len(known) + len(kept))
+    known.update(zip(kept, number[often].tolist(), strict=True))
+    number[new & ~often] = np.arange(len(known), len(known) + len(once))
+    kind = number[kind]
+    lattices.add(kept)
     mark = lattices.mark()
-    lattices.add([w for w, o in zip(numbering.new, often.tolist(), strict=True) if not o])
+    lattices.add(once)
     stops = np.cumsum([len(words) for words in own])
     spans = list(zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True))
     base = lattices.base[kind]
@@ -487,7 +494,7 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int
             keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             at, cols = [], [[] for _ in range(9)]
             for i, found in enumerate(sample_texts(vocab, keys, texts, samples, seed)):
-                plain = "".join(vocab.words(texts[i])).replace(_MARK, " ").removeprefix(" ") if texts[i] else ""
+                plain = vocab.decoded(texts[i]) if texts[i] else ""
                 for n, (tokens, logp, top, score) in enumerate(found):
                     at.append(i)
                     row = (n, len(tokens), logp, top, math.exp(score), score, hashlib.sha256(tokens.tobytes()).hexdigest(), vocab.decode(tokens) == plain, tokens)
@@ -496,7 +503,11 @@ def sample(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int
             kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
             names = ("sample", "n_tokens", "log_prob", "perturbed", "inclusion", "log_inclusion", "ids_sha256", "round_trip", "ids")
             width = len(names) if ids else len(names) - 1
-            yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols[:width], kinds, strict=False))], names=["key", *names[:width]])
+            made = [pa.array(c, k) for c, k in zip(cols[:8], kinds, strict=False)]
+            if ids:
+                begins = np.concatenate([[0], np.cumsum(cols[1], dtype=np.int64)])
+                made.append(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *cols[8]]))))
+            yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), *made], names=["key", *names[:width]])
 
     schema = f"key {kind}, sample int, n_tokens long, log_prob double, perturbed double, inclusion double, log_inclusion double, ids_sha256 string, round_trip boolean" + ", ids array<int>" * ids
     return map_arrow(source, run, schema, _forget).withColumnRenamed("key", key)
