@@ -46,9 +46,9 @@ from threadloom.llm.shared import map_arrow, slices
 SAMPLES, ALPHA = 2, 1.0
 MODEL = "piece_bpe_32k.model"
 SEED = 20240229
-SLICE = 400_000
+SLICE = 200_000
 #: Places of lattices that a task keeps from one slice to the next.
-KEPT_PLACES = 400_000
+KEPT_PLACES = 200_000
 _MARK = "▁"
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _WORD = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
