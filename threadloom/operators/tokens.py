@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,24 @@ def bytes_quarter(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
+def python_counter(count: Callable[[str], int]) -> Counter:
+    """A counter from a Python function of one text, such as a tokenizer's, called in Arrow batches; a null text costs nothing.
+
+    For rows only (message_tokens, thread_tokens, trigger_decisions): Spark runs
+    no Python inside the array functions that rewrite a history, so Config refuses it.
+    """
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([0 if t is None else int(count(t)) for t in texts], dtype="int64")
+
+    def counter(text: Column) -> Column:
+        return counted(text)
+
+    counter.rows_only = True
+    return counter
+
+
 def counted_text(content, name, tool_calls) -> Column:
     """What a message costs tokens for: content, author and calls, a line each."""
     calls = F.transform(tool_calls, lambda c: F.concat(c["name"], F.lit(" "), c["arguments"]))

@@ -44,6 +44,8 @@ class Config:
             raise ConfigurationError("trim_tokens must be a positive integer or None")
         if not callable(self.counter) or not isinstance(self.validation, bool):
             raise ConfigurationError("counter must be callable and validation a bool")
+        if getattr(self.counter, "rows_only", False):
+            raise ConfigurationError("counter must be made of column functions, not of Python")
 
     @property
     def window(self) -> tuple[str, int]:

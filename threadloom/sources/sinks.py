@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -52,6 +52,22 @@ def histogram(events: DataFrame, column: str, bounds: Sequence[float]) -> DataFr
     return events.groupBy(*TAGS, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def observed(events: DataFrame, name: str = "threadloom") -> tuple[DataFrame, Observation]:
+    """The events, and an observation that has their totals once some sink has read all of them.
+
+    The totals are gathered while the events pass, without a scan of their own;
+    those of no events are null or 0.
+    """
+    seen = Observation(name)
+    count = lambda where, label: F.count(F.when(where, 1)).alias(label)
+    recovery = F.col("recovery_status")
+    totals = (
+        F.count("*").alias("summarizations"), F.sum("compacted_units").alias("compacted_units"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        count(recovery == "restated_facts", "restated"), count(recovery == "trimmed_fallback", "fallbacks"), count(F.col("validation_status") == "failed_unrecovered", "unrecovered"),
+    )
+    return events.observe(seen, *totals), seen
+
+
 def composite(*sinks: Sink) -> Sink:
     """All sinks over one cached frame; each gets the events even if another fails, failures are raised together at the end."""
 
@@ -82,5 +98,3 @@ def safely(sink: Sink) -> Sink:
             logger.warning("events could not be delivered", exc_info=True)
 
     return write
-
-
