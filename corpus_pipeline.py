@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Every stage takes nulls in any column, empty and
 very long texts, equal and repeated rows and empty tables; what becomes of them is
-said at each. Other columns are kept, whatever their names. SQL cannot express the classifier, the secret
+said at each. Other columns are kept, whatever their names. Stages with Python bound the
+session's Arrow batches, and leave that bound in place, as their results are computed later. SQL cannot express the classifier, the secret
 patterns' checksums and the sampled segmentations, so ORACLE_SQL is None.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import language_id, mixing, ngram_join, piece_sampling, secrets_scan
-from threadloom.llm.shared import materialize
+from threadloom.llm.shared import bound_batches, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     The classifier learns from this stage's own documents with text and label;
     without any, all go. Repeated rows fare alike; null ids and sources do not matter.
     """
+    bound_batches(spark)
     filters = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
     return language_id.keep_identified(docs, filters)
 
@@ -31,11 +33,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null ids come last; rows equal in id and text count as one; null texts and texts without words all stay.
     """
+    bound_batches(spark)
     return ngram_join.keep_one(docs, words=5, num=4, den=5)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets inside texts are replaced by marks; all documents stay, null and empty texts as they are."""
+    bound_batches(spark)
     clean = secrets_scan.redact_rows(docs)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
@@ -47,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two distinct segmentations of each document, with token ids; a null or empty text has one, without tokens. Repeated rows have equal ones."""
+    bound_batches(spark)
     return piece_sampling.sample(docs)
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline as C
 from threadloom.llm import secrets_scan
 from threadloom.sources.storage import materialize
@@ -80,3 +82,25 @@ def test_empty(spark):
         docs = materialize(stage(spark, docs, ""), "e")
         assert docs.count() == 0 and docs.columns == [c.split()[0] for c in COLUMNS.split(", ")]
     assert C.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_python_gets_small_batches(spark):
+    """Stages with Python bound the bytes of a batch; a lower bound of the session stays."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    empty = materialize(spark.createDataFrame([], COLUMNS), "docs")
+    large = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('some words ', 400) AS text")  # 13 MB
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    try:
+        for stage in (C.identify_language, C.drop_near_copies, C.remove_secrets, C.sample_pieces):
+            spark.conf.unset(bound)
+            stage(spark, empty, "")
+            assert max(r.n for r in large.mapInArrow(sizes, "n long").collect()) < 5_000_000
+        spark.conf.set(bound, "1m")
+        C.sample_pieces(spark, empty, "")
+        assert max(r.n for r in large.mapInArrow(sizes, "n long").collect()) < 1_500_000
+    finally:
+        spark.conf.unset(bound)

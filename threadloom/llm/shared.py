@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from threadloom.sources.storage import new_path, shared_dir
 
-__all__ = ["SLICE_CHARS", "components", "discard", "map_arrow", "map_text", "materialize", "new_path", "shared_dir", "slices"]
+__all__ = ["SLICE_CHARS", "bound_batches", "components", "discard", "map_arrow", "map_text", "materialize", "new_path", "shared_dir", "slices"]
 
 #: Characters of text that one slice of an Arrow batch holds at most, unless one text alone is longer.
 SLICE_CHARS = 4_000_000
@@ -43,6 +43,17 @@ def discard(*tables: DataFrame, sweep: bool = True) -> None:
         SparkSession.getActiveSession()._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, limit: int = SLICE_CHARS) -> None:
+    """Let this session hand at most about `limit` bytes at once to Python, unless it has a lower bound already.
+
+    Spark's own bound is 64 MB. Each running task holds a batch in the worker and in the
+    JVM, there in buffers of powers of two that are copied when they grow. Rows are
+    grouped differently, nothing else changes.
+    """
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= limit:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds at most about `limit` bytes of a string column."""
     for batch in batches:
